@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm import quality
+from lumenweave.llm import quality, shards, urls, warc
 from lumenweave.llm.shared import table
 
 
@@ -14,11 +14,46 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op6_url_filters": op6_url_filters,
+    "op7_sharding": op7_sharding,
+    "op10_warc": op10_warc,
     "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES = {
+    "op6_url_filters": r"""
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),
+ p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+ f AS (SELECT *, '.' || host AS dotted FROM p),
+ g AS (SELECT page_id, host, path,
+    CASE WHEN suffix(dotted, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+         WHEN suffix(dotted, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN suffix(dotted, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+         WHEN suffix(dotted, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM f)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM g""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+ d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM m""",
     "op9_quality_rules": r"""
 WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
