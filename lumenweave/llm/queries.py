@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm import prints, quality, shards, simhash, urls, warc
+from lumenweave.llm import bpe, packing, prints, quality, shards, simhash, urls, warc
 from lumenweave.llm.shared import table
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
+#: The vocabulary of the registered queries.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -38,10 +50,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_packing": op2_packing,
     "op3_fingerprints": op3_fingerprints,
     "op6_url_filters": op6_url_filters,
     "op7_sharding": op7_sharding,
     "op10_warc": op10_warc,
+    "op8_bpe": op8_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
 
