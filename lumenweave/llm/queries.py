@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm import bpe, packing, prints, quality, shards, simhash, urls, warc
+from lumenweave.llm import bpe, langid, packing, pages, prints, quality, shards, simhash, urls, warc
 from lumenweave.llm.shared import table
 
 
@@ -35,6 +35,15 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -52,6 +61,8 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_fingerprints": op3_fingerprints,
+    "op4_language_id": op4_language_id,
+    "op5_html_extraction": op5_html_extraction,
     "op6_url_filters": op6_url_filters,
     "op7_sharding": op7_sharding,
     "op10_warc": op10_warc,
