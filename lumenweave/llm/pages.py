@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -80,6 +81,7 @@ def parse(html: str) -> Page:
     """The page's blocks of text in order, with what their elements say of them."""
     page, held = Page(), []
     stack: list[tuple[str, bool, bool]] = []  # name, within main, within something dropped
+    opened: Counter[str] = Counter()
     main = dropped = False
 
     def close() -> None:
@@ -110,9 +112,10 @@ def parse(html: str) -> Page:
         elif name in ("td", "th"):
             held.append(" ")
         if m[2] or m[5]:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if opened[name]:
+                while (last := stack.pop()[0]) != name:
+                    opened[last] -= 1
+                opened[name] -= 1
                 now = state()
                 if now != (main, dropped):
                     close()
@@ -122,6 +125,7 @@ def parse(html: str) -> Page:
             continue
         if name in BLOCKS and stack and stack[-1][0] == "p":
             stack.pop()
+            opened["p"] -= 1
         main, dropped = state()
         if name in ("article", "main"):
             # An article inside an unclosed menu or advert is an article all the same.
@@ -131,6 +135,7 @@ def parse(html: str) -> Page:
                 close()
             dropped = True
         stack.append((name, main, dropped))
+        opened[name] += 1
     if at < len(html):
         held.append(html[at:])
     close()

@@ -134,7 +134,7 @@ def central_directory(read: ReadRange, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - END.size - 0xFFFF - LOCATOR64.size)
     tail = read(tail_at, size - tail_at)
     end_at = tail.rfind(b"PK\5\6")
-    while end_at >= 0 and end_at + END.size + struct.unpack_from("<H", tail, end_at + 20)[0] != len(tail):
+    while end_at >= 0 and end_at + END.size + int.from_bytes(tail[end_at + 20 : end_at + 22], "little") != len(tail):
         end_at = tail.rfind(b"PK\5\6", 0, end_at)
     if end_at < 0:
         raise ValueError("no end of central directory")
