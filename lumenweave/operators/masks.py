@@ -58,7 +58,7 @@ def near_any_date(when: Column, dates: Sequence[str], days: int = 30) -> Column:
         return F.lit(False)
     seconds = days * 86400
     stamps = F.array(*[F.to_timestamp(F.lit(d)) for d in dates])
-    return F.coalesce(F.exists(stamps, lambda d: F.abs(F.unix_micros(when) - F.unix_micros(d)) <= seconds * 1_000_000), F.lit(False))
+    return F.coalesce(F.exists(stamps, lambda d: F.abs(F.unix_micros(when.cast("timestamp")) - F.unix_micros(d)) <= seconds * 1_000_000), F.lit(False))
 
 
 def heuristic_classes(nbr: Column, ndvi: Column, ndwi_: Column) -> Column:

@@ -20,6 +20,8 @@ from lumenweave.operators.indices import CANONICAL, post_constraints
 
 #: Models above which a search is refused, and numbers of a block of pixels.
 MOST_MODELS, BLOCK = 50_000, 1 << 21
+#: By how much rounding may carry a fraction over its bound: a pixel equal to its endmember has no shade at all.
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -68,7 +70,8 @@ def mesma_block(pixels: np.ndarray, library: np.ndarray, models: Sequence[tuple[
         f = cross @ np.linalg.inv(gram)
         rmse = np.sqrt(np.maximum(square - (f * cross).sum(1), 0) / library.shape[0])
         shade = 1 - f.sum(1)
-        better = (rmse < best - 1e-12) & (rmse <= c.max_rmse) & (f >= c.min_fraction).all(1) & (f <= c.max_fraction).all(1) & (shade >= c.min_shade) & (shade <= c.max_shade)
+        inside = (f >= c.min_fraction - SLACK).all(1) & (f <= c.max_fraction + SLACK).all(1) & (shade >= c.min_shade - SLACK) & (shade <= c.max_shade + SLACK)
+        better = inside & (rmse < best - 1e-12) & (rmse <= c.max_rmse)
         best[better] = rmse[better]
         out[better] = 0
         out[np.ix_(better, m)] = f[better]
