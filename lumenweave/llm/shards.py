@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenweave.llm.shared import cut, utf8
+from lumenweave.llm.shared import numbered, numbers, utf8
 
 #: Leading bits of the text's hash that name an atomic run of groups.
 BUCKET_BITS = 16
@@ -59,22 +59,14 @@ def assign(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str
     """One row a document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     t = utf8(F.col(text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"), F.xxhash64(t).alias("h"))
-    # Ordered by range of (hash, id), so that a large group of equal texts spreads over many tasks; a row's
-    # number is its partition's offset plus its place in the partition.
-    ordered = rows.repartitionByRange("h", "doc_id").sortWithinPartitions("h", "doc_id", "text_crc32", "size")
-    placed = cut(ordered.withColumn("m", F.monotonically_increasing_id()))
-    part = F.shiftright("m", 33).cast("int")
+    # Numbered in the order of (hash, id), so that a large group of equal texts spreads over many tasks.
+    placed = numbered(rows, "h", "doc_id", "text_crc32", "size")
     runs = placed.groupBy(bucket(F.col("h")).alias("b")).agg(F.sum("size"), F.count("*")).orderBy("b").collect()
-    parts = dict(placed.groupBy(part.alias("p")).agg(F.count("*")).collect())
     _, cuts = minimax_cuts(np.array([r[1] for r in runs], dtype=np.int64), shards)
     ranks = np.concatenate([[0], np.cumsum([r[2] for r in runs], dtype=np.int64)])
     # A shard begins at the first run after the cut before it; shards past the last run stay empty.
     starts = [0, *cuts[:-1].tolist()]
     shard = sum((F.when(bucket(F.col("h")) >= runs[s][0], 1).otherwise(0) for s in starts[1:] if s < len(runs)), F.lit(0)).cast("int")
     firsts = [int(ranks[s]) for s in starts]
-    n_parts = max(parts, default=-1) + 1
-    offsets = np.concatenate([[0], np.cumsum([parts.get(p, 0) for p in range(n_parts)])]).astype(np.int64).tolist()
-    literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
-    rank = F.get(literal(offsets), part) + F.col("m").bitwiseAND((1 << 33) - 1)
-    out = placed.withColumn("shard", shard).withColumn("slot", rank - F.get(literal(firsts), F.col("shard")))
+    out = placed.withColumn("shard", shard).withColumn("slot", F.col("number") - F.get(numbers(firsts), F.col("shard")))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

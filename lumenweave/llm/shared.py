@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,24 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenweave.functions.durable import cut, numbered, numbers, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, local mode) a temporary folder is made.
-    """
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lumenweave-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: lost executors cost nothing of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["arrow_map", "cut", "new_path", "numbered", "numbers", "shared_dir", "slices", "store", "table", "utf8"]
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -46,27 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbers(xs) -> F.Column:
-    """An array of whole numbers as one literal of the plan."""
-    return F.split(F.lit(",".join(str(int(x)) for x in xs)), ",").cast("array<bigint>")
-
-
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with ``number``: each row's place from 0 on in the order of these columns.
-
-    Rows are dealt by ranges of the order and numbered in their partition; only the partitions' sizes reach the
-    driver. Equal rows spread over partitions if all of their columns are in ``order`` and some differ.
-    """
-    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
-    part = F.shiftright("_m", 33).cast("int")
-    sizes = dict(placed.groupBy(part.alias("p")).count().collect())
-    before, starts = 0, []
-    for p in range(max(sizes, default=-1) + 1):
-        starts.append(before)
-        before += sizes.get(p, 0)
-    return placed.withColumn("number", F.get(numbers(starts or [0]), part) + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")
-
-
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` on slices of Arrow batches, each of at most some MB of text, so that long rows stay bounded."""
 
