@@ -45,8 +45,7 @@ def spearman(df: DataFrame, pred: str, obs: str) -> DataFrame:
 
 def correlation(a: str, b: str) -> F.Column:
     """Pearson's correlation; NULL for fewer than two pairs or a constant side."""
-    varied = (F.count("*") > 1) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
-    return F.when(varied, F.corr(a, b))
+    return F.when(F.count("*") > 1, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def continuous(df: DataFrame, pred: str, obs: str, by: Sequence[str] = (), rollup: bool = False) -> DataFrame:
