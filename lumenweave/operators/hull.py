@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenweave.functions.bands import Bands, take
+from lumenweave.functions.kernels import block_of_spectra, spectra_block
 from lumenweave.operators.indices import DEPTH_TARGETS, clamp
 
 #: Numbers of a batch's spectra that are worked on at a time.
@@ -78,18 +79,8 @@ def continuum_removal(df: DataFrame, bands: Bands, spectrum: str = "spectrum", o
         for batch in batches:
             for s in range(0, batch.num_rows, step):
                 part = batch.slice(s, step)
-                col = part.column(at)
-                full = np.array([v is not None and len(v) == len(x) for v in col.to_pylist()]) if col.null_count else None
-                if full is None:
-                    y = col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, len(x))
-                else:
-                    y = np.full((part.num_rows, len(x)), np.nan)
-                    y[full] = col.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(x))
-                out = remove_continuum(x, y)
-                values = pa.array(out.ravel(), from_pandas=True)
-                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(x))
-                mask = pa.array(~full) if full is not None else None
-                column = pa.ListArray.from_arrays(offsets, values, mask=mask) if mask is not None else pa.ListArray.from_arrays(offsets, values)
+                y = spectra_block(part.column(at), len(x))
+                column = block_of_spectra(remove_continuum(x, y), part.column(at).is_valid().to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
 
     return source.mapInArrow(run, schema), kept

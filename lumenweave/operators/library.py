@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions.arrays import dot, rmse, spectral_angle, stddev
 from lumenweave.functions.bands import Bands
+from lumenweave.functions.kernels import spectra_block
 from lumenweave.functions.missing import clip
 from lumenweave.operators.indices import resample, response_weights
 
@@ -129,9 +130,11 @@ def purest_pixels(df: DataFrame, n: int = 30, projections: int = 1000, seed: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, best = None, None
         for batch in batches:
-            x = np.array([[0.0 if v is None else v for v in s] for s in batch.column(len(names)).to_pylist()], float)
-            if not len(x):
+            column = batch.column(len(names))
+            lengths = column.value_lengths().drop_null()
+            if not len(lengths):
                 continue
+            x = np.nan_to_num(spectra_block(column, lengths[0].as_py()))
             if vectors is None:
                 vectors = np.random.default_rng(seed).normal(size=(projections, x.shape[1]))
                 best = {s: [(-np.inf, None, None)] * projections for s in (1, -1)}

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenweave.functions.kernels import spectra_block
 from lumenweave.functions.missing import clip
 from lumenweave.operators.masks import contains_any, in_bbox, in_range, near_any_date
 
@@ -54,10 +55,15 @@ def moments(df: DataFrame, x: str, y: str, fold: Column) -> dict[int, Moments]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            rows = [(f, [1.0, *v, t]) for f, v, t in zip(*(c.to_pylist() for c in batch.columns)) if v is not None and t is not None and all(e is not None for e in v)]
-            for f in {r[0] for r in rows}:
-                z = np.array([r[1] for r in rows if r[0] == f])
-                held[f] = held.get(f, 0) + z.T @ z
+            lengths = batch.column(1).value_lengths().drop_null()
+            if not len(lengths):
+                continue
+            x, t = spectra_block(batch.column(1), lengths[0].as_py()), batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            z = np.column_stack([np.ones(len(t)), x, t])
+            folds, whole = batch.column(0).to_numpy(zero_copy_only=False), np.isfinite(z).all(1)
+            for f in np.unique(folds[whole]).tolist():
+                some = z[whole & (folds == f)]
+                held[f] = held.get(f, 0) + some.T @ some
         for f, g in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([f] * len(g), pa.int32()), pa.array(range(len(g)), pa.int32()), pa.array(g.tolist(), pa.list_(pa.float64()))], names=["fold", "i", "v"])
 

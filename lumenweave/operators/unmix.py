@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenweave.functions.bands import Bands
+from lumenweave.functions.bands import Bands, take
+from lumenweave.functions.kernels import spectra_block
 from lumenweave.operators.indices import CANONICAL, post_constraints
 
 #: Models above which a search is refused, and numbers of a block of pixels.
@@ -148,7 +149,7 @@ def unmix(df: DataFrame, library: DataFrame, engine: str = "mesma", constraints:
         raise ValueError(engine)
     other = [f for f in df.schema.fields if f.name != spectrum]
     schema = T.StructType(other + [T.StructField(c, T.DoubleType()) for c in (*names, "rmse")])
-    width, take = spectra.shape[0], None if positions is None else np.array(positions)
+    width = spectra.shape[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, BLOCK // max(1, width))
@@ -156,11 +157,7 @@ def unmix(df: DataFrame, library: DataFrame, engine: str = "mesma", constraints:
             for s in range(0, batch.num_rows, step):
                 part = batch.slice(s, step)
                 n = part.num_rows
-                pixels = np.full((n, width), np.nan)
-                for i, v in enumerate(part.column(part.schema.get_field_index(spectrum)).to_pylist()):
-                    if v is not None:
-                        row = np.array(v, float)
-                        pixels[i] = row if take is None else row[take]
+                pixels = spectra_block(part.column(part.schema.get_field_index(spectrum)), width)
                 ok = np.isfinite(pixels).all(1)
                 out = np.full((n, len(names) + 1), np.nan)
                 if ok.any():
@@ -176,7 +173,9 @@ def unmix(df: DataFrame, library: DataFrame, engine: str = "mesma", constraints:
                 kept = [part.column(part.schema.get_field_index(f.name)) for f in other]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(out[:, j], from_pandas=True) for j in range(out.shape[1])], names=[f.name for f in schema.fields])
 
-    out = df.select(*[f.name for f in other], F.col(spectrum).cast("array<double>").alias(spectrum)).mapInArrow(run, schema)
+    # Bands that no endmember has stay behind: only those of the library travel to the kernel.
+    seen = F.col(spectrum) if positions is None else F.when(F.col(spectrum).isNotNull(), take(F.col(spectrum), positions))
+    out = df.select(*[f.name for f in other], seen.cast("array<double>").alias(spectrum)).mapInArrow(run, schema)
     if engine == "nnls":
         out = post_constraints(out, names, constraints.max_rmse, constraints.min_fraction, constraints.max_fraction)
     return out
