@@ -38,8 +38,18 @@ def elements(paragraph: Column) -> Column:
 
 
 def lane_sums(h: Column) -> list[Column]:
-    """The sums of a fingerprint as aggregates over hashes; the last is their number."""
-    return [F.sum(F.shiftright(h, k).bitwiseAND(1)).alias(f"s{k}") for k in range(LANES)] + [F.count(h).alias("n")]
+    """Aggregates over hashes: the sums of entries k and k + 32 side by side in one number, and the number of hashes.
+
+    A text has under 2**30 hashes (a string is under 2**31 bytes), so neither sum reaches the other.
+    """
+    pairs = F.lit((1 << 32) + 1)
+    return [F.sum(F.shiftright(h, k).bitwiseAND(pairs)).alias(f"p{k}") for k in range(LANES // 2)] + [F.count(h).alias("n")]
+
+
+def unpacked() -> list[Column]:
+    """The sums s0.. of the aggregates of ``lane_sums``."""
+    low = [F.col(f"p{k}").bitwiseAND((1 << 32) - 1).alias(f"s{k}") for k in range(LANES // 2)]
+    return low + [F.shiftrightunsigned(f"p{k}", 32).alias(f"s{k + LANES // 2}") for k in range(LANES // 2)]
 
 
 def written(sums: list[Column]) -> Column:
@@ -80,9 +90,9 @@ def likeness(a: list[Column], b: list[Column]) -> Column:
 
 
 def sums_of(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys`` and the sums s0.. and n of the texts with these keys, added up if there are several."""
+    """``keys`` and the sums s0.. and n of the one text with these keys."""
     paragraphs = texts.select(*keys, F.explode(F.split(F.col(text), "\n")).alias("p"))
-    return paragraphs.select(*keys, F.explode(elements(F.col("p"))).alias("h")).groupBy(*keys).agg(*lane_sums(F.col("h")))
+    return paragraphs.select(*keys, F.explode(elements(F.col("p"))).alias("h")).groupBy(*keys).agg(*lane_sums(F.col("h"))).select(*keys, *unpacked(), "n")
 
 
 NAMES = [f"s{k}" for k in range(LANES)] + ["n"]
@@ -128,12 +138,15 @@ def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     texts = edits(docs, repeats, doc_id, text).select(
         "doc_id", "next", F.char_length("t").cast("long").alias("n_chars"), F.xxhash64("t").alias("text_hash"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), both.alias("b")
     )
-    sums = store(sums_of(texts.select(*keys, "b.edited", F.col("b.t").alias("t")), [*keys, "edited"], "t"), "prints")
+    texts = texts.select(*keys, "b.edited", F.col("b.t").alias("t"))
+    if repeats:
+        texts = texts.dropDuplicates([*keys, "edited"])
+    sums = store(sums_of(texts, [*keys, "edited"], "t"), "prints")
     if repeats:
-        # Rows equal in id and text have added up; take them apart again.
+        # Rows equal in id and text were taken together; count them again.
         copies = docs.groupBy(F.col(doc_id).alias("id"), F.xxhash64(utf8(F.col(text))).alias("hash")).agg(F.count("*").alias("copies"))
         sums = sums.join(copies, sums["doc_id"].eqNullSafe(copies["id"]) & (F.col("text_hash") == F.col("hash")))
-        sums = sums.select(*keys, "edited", "copies", *[F.expr(f"{c} div copies").alias(c) for c in NAMES])
+        sums = sums.select(*keys, "edited", "copies", *NAMES)
     own = sums.filter("not edited")
     changed = sums.filter("edited").select(F.col("doc_id").alias("e_id"), F.col("text_hash").alias("e_hash"), *[F.col(c).alias(f"e_{c}") for c in NAMES])
     after = own.select(F.col("doc_id").alias("a_id"), F.struct(*NAMES).alias("a"))
