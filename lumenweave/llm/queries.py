@@ -93,8 +93,9 @@ SELECT page_id, payload_bytes, payload_digest,
     "op9_quality_rules": r"""
 WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
- pos AS (SELECT rid, unnest(range(1, CAST(len(words) AS BIGINT) - 1)) AS i, words FROM w WHERE len(words) >= 3),
- win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS n FROM pos),
+ pos AS (SELECT rid, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM w),
+ tri AS (SELECT rid, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM pos WINDOW o AS (PARTITION BY rid ORDER BY i)),
+ win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM tri WHERE c IS NOT NULL),
  cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM win WHERE n > 1) GROUP BY rid),
  lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w),
  dup AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
