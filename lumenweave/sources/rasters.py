@@ -1,4 +1,4 @@
-"""Rasters: scenes as Parquet, GeoTIFF read and written without other libraries, HDF5 scenes where h5py is installed.
+"""Rasters: scenes as Parquet, GeoTIFF read and written without other libraries, class and fraction rasters.
 
 Files are read through Spark's ``binaryFile`` and parsed on the executors, a file at a time.
 """
@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweave.functions.bands import ALIASES, Bands, at
-from lumenweave.functions.missing import array_to_null, to_null
-from lumenweave.operators.grid import Grid
+from lumenweave.functions.missing import to_null
+from lumenweave.operators.grid import Grid, align_classes, coarsen, coarsening_factor
+from lumenweave.operators.severity import remap_codes
 
 #: Names of fraction bands in other products.
 FRACTION_NAMES = {
@@ -145,6 +146,33 @@ def read_geotiff(spark: SparkSession, path: str, names: Sequence[str] = ("value"
     return files.mapInArrow(run, "path string, row int, col int, y double, x double, " + ", ".join(f"{n} double" for n in names))
 
 
+def grid_of_file(spark: SparkSession, path: str) -> tuple[Grid, float | None]:
+    """Grid and nodata of one GeoTIFF file."""
+    content = spark.read.format("binaryFile").load(path).select("content").first()
+    if content is None:
+        raise FileNotFoundError(path)
+    _, grid, nodata = decode_geotiff(bytes(content.content))
+    return grid, nodata
+
+
+def read_classes(spark: SparkSession, path: str, code_map: Mapping[int, int] | None = None, target: Grid | None = None, strict: bool = True) -> DataFrame:
+    """(row, col, code) of a class raster with harmonized codes, -1 where there is none, on the target's cells if given."""
+    grid, _ = grid_of_file(spark, path)
+    coded = remap_codes(read_geotiff(spark, path, ("code",)).select("row", "col", "code"), "code", code_map, strict)
+    return coded if target is None or target == grid else align_classes(coded, grid, target)
+
+
+def read_fractions(spark: SparkSession, path: str, names: Sequence[str] | int, resolution: float = 30.0) -> tuple[DataFrame, Grid]:
+    """(row, col, canonical fractions) of a fraction raster, coarsened to about ``resolution``, and its grid."""
+    grid, _ = grid_of_file(spark, path)
+    columns = fraction_columns(names)
+    f = coarsening_factor(grid.size, resolution)
+    df = read_geotiff(spark, path, columns)
+    if f == 1:
+        return df.select("row", "col", *columns), grid
+    return coarsen(df, columns, f, f, grid.height, grid.width), Grid(grid.west, grid.north, grid.size * f, grid.width // f, grid.height // f, grid.crs)
+
+
 def fraction_columns(names: Sequence[str] | int) -> list[str]:
     """Canonical names of a fraction product's bands, by alias; four or more unnamed ones in the usual order."""
     if isinstance(names, int):
@@ -157,7 +185,7 @@ def fraction_columns(names: Sequence[str] | int) -> list[str]:
     return [f or n for f, n in zip(found, names)]
 
 
-# --- HDF5 scenes
+# --- grids of HDF5 scenes
 
 
 def parse_grid_metadata(text: str) -> dict:
@@ -178,45 +206,6 @@ def grid_of_metadata(meta: Mapping) -> Grid:
     return Grid(ulx, uly, (lrx - ulx) / meta["x_dim"], meta["x_dim"], meta["y_dim"], f"EPSG:{32600 + zone}" if zone and zone > 0 else None)
 
 
-def read_hdf5_scene(spark: SparkSession, path: str, low: float | None = None, high: float | None = None, block_rows: int = 64) -> DataFrame:
-    """(path, row, col, y, x, spectrum, cirrus, cloud) of orthorectified HDF5 scenes; needs h5py on the executors.
-
-    Only the contiguous bands that cover [low, high] are read; fill values are NULL.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
-        import h5py
-
-        for batch in batches:
-            for where, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with h5py.File(io.BytesIO(content), "r") as f:
-                    fields = f["HDFEOS/GRIDS/HYP/Data Fields"]
-                    cube = fields["surface_reflectance"]
-                    w = np.asarray(cube.attrs["wavelengths"], float)
-                    keep = np.flatnonzero((w >= (low if low is not None else -np.inf)) & (w <= (high if high is not None else np.inf)))
-                    if not len(keep):
-                        raise ValueError("no band in the range")
-                    fill = float(np.ravel(cube.attrs.get("_FillValue", -9999.0))[0])
-                    meta = f["HDFEOS INFORMATION/StructMetadata.0"][()]
-                    g = grid_of_metadata(parse_grid_metadata(meta.decode() if isinstance(meta, bytes) else str(meta)))
-                    for r in range(0, g.height, block_rows):
-                        some = cube[keep[0] : keep[-1] + 1, r : r + block_rows].astype(float)
-                        n, cols = some.shape[1], np.tile(np.arange(g.width), some.shape[1])
-                        rows = np.repeat(np.arange(n), g.width) + r
-                        flags = [fields[k][r : r + block_rows].ravel().astype(np.int8) if k in fields else None for k in ("beta_cirrus_mask", "beta_cloud_mask")]
-                        spectra = np.where(some == fill, np.nan, some).reshape(len(keep), -1).T
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([where] * len(rows)), pa.array(rows.astype(np.int32)), pa.array(cols.astype(np.int32)), pa.array(g.north - (rows + 0.5) * g.size), pa.array(g.west + (cols + 0.5) * g.size), pa.array(spectra.tolist(), pa.list_(pa.float64())), *[pa.array(x, pa.int8()) if x is not None else pa.nulls(len(rows), pa.int8()) for x in flags]],
-                            names=["path", "row", "col", "y", "x", "spectrum", "cirrus", "cloud"],
-                        )
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    out = files.mapInArrow(run, "path string, row int, col int, y double, x double, spectrum array<double>, cirrus byte, cloud byte")
-    return out.withColumn("spectrum", array_to_null(F.col("spectrum")))
-
-
 def from_fill(df: DataFrame, columns: Sequence[str], fill: float = -9999.0) -> DataFrame:
     """NULL for fill values, NaN and infinities."""
     return df.withColumns({c: to_null(F.col(c), fill) for c in columns})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumenweave.functions import bands as B
 from lumenweave.operators import catalog, provenance
 from lumenweave.operators.grid import Grid
-from lumenweave.sources import rasters, sinks, spectra, tables
+from lumenweave.sources import cubes, rasters, sinks, spectra, tables
 from lumenweave.streaming import trajectory
 
 G = Grid(350000, 3760000, 30, 7, 5, "EPSG:32611")
@@ -80,13 +80,82 @@ def test_grid_metadata():
         rasters.parse_grid_metadata(META.replace("YDim", "Y"))
 
 
-def test_hdf5_scene(spark, tmp_path):
+class Field:
+    """An array with attributes and a file of them, as h5py has."""
+
+    def __init__(self, data, **attrs):
+        self.data, self.attrs, self.shape = data, attrs, getattr(data, "shape", ())
+
+    def __getitem__(self, key):
+        return self.data if key == () else self.data[key]
+
+
+CUBE = np.arange(60, dtype=float).reshape(3, 4, 5) / 100
+AXIS = {"wavelengths": [400.0, 500.0, 600.0], "fwhm": [5.0] * 3, "good_wavelengths": [1, 0, 1], "_FillValue": -9999.0}
+
+
+def pixels_of(blocks):
+    return {(r["row"], r["col"]): r for b in blocks for r in b.to_pylist()}
+
+
+def test_gridded_scene():
+    cube = CUBE.copy()
+    cube[:, 0, 0] = -9999
+    clouds = Field(np.eye(4, 5, dtype=np.uint8))
+    f = {f"{cubes.GRID_FIELDS}/surface_reflectance": Field(cube, **AXIS), cubes.GRID_TEXT: Field(META.encode()), f"{cubes.SWATH_META}/beta_cloud_mask": clouds, "beta_cirrus_mask": Field(np.zeros((2, 2)))}
+    got = pixels_of(cubes.scene_blocks(f, "a", 450, 700, block_rows=3))
+    assert len(got) == 20 and got[0, 0]["spectrum"] == [None, None] and got[3, 4]["spectrum"] == pytest.approx([0.39, 0.59])
+    assert (got[0, 0]["x"], got[0, 0]["y"], got[1, 1]["cloud"], got[1, 2]["cloud"], got[0, 0]["cirrus"]) == (300015, 3999985, 1, 0, None)
+    b = cubes.bands_of(f)
+    assert b.good == (True, False, True) and b.fwhm == (5.0,) * 3
+    with pytest.raises(ValueError):
+        list(cubes.scene_blocks(f, "a", 700, 800))
+    with pytest.raises(ValueError):
+        cubes.bands_of({})
+
+
+def test_swath():
+    lat, lon = np.mgrid[34:34.4:0.1, -118:-117.5:0.1]
+    f = {f"{cubes.SWATH_FIELDS}/toa_radiance": Field(CUBE, **AXIS), f"{cubes.SWATH_PLACES}/Latitude": Field(lat), f"{cubes.SWATH_PLACES}/Longitude": Field(lon)}
+    got = pixels_of(cubes.scene_blocks(f, "a"))
+    assert got[2, 3]["y"] == pytest.approx(34.2) and got[2, 3]["x"] == pytest.approx(-117.7) and len(got[0, 0]["spectrum"]) == 3
+    del f[f"{cubes.SWATH_PLACES}/Latitude"]
+    with pytest.raises(ValueError):
+        list(cubes.scene_blocks(f, "a"))
+
+
+@pytest.mark.parametrize("last", [False, True])
+def test_airborne_cube(last):
+    cube = CUBE.copy()
+    cube[1, 2, 2] = -9999
+    f = {"reflectance/reflectance": Field(np.moveaxis(cube, 0, 2) if last else cube), "reflectance/wavelength": Field(np.array([0.4, 0.5, 0.6])), "easting": Field(np.arange(5) * 2.0), "northing": Field(100 - np.arange(4) * 2.0)}
+    got = pixels_of(cubes.airborne_blocks(f, "a", 450, 700, block_rows=2))
+    assert got[2, 2]["spectrum"][0] is None and got[3, 4]["spectrum"] == pytest.approx([0.39, 0.59]) and (got[3, 4]["x"], got[3, 4]["y"]) == (8, 94)
+    with pytest.raises(ValueError):
+        list(cubes.airborne_blocks({"reflectance/wavelength": f["reflectance/wavelength"]}, "a"))
+
+
+def test_hdf5_files(spark, tmp_path):
     h5py = pytest.importorskip("h5py")
     with h5py.File(tmp_path / "a.h5", "w") as f:
-        cube = f.create_dataset("HDFEOS/GRIDS/HYP/Data Fields/surface_reflectance", data=np.full((3, 4, 5), 0.5, "f4"))
-        cube.attrs["wavelengths"], cube.attrs["_FillValue"] = [400.0, 500.0, 600.0], -9999.0
-        f["HDFEOS INFORMATION/StructMetadata.0"] = META
-    assert rasters.read_hdf5_scene(spark, str(tmp_path / "a.h5"), 450, 700).count() == 20
+        d = f.create_dataset(f"{cubes.GRID_FIELDS}/surface_reflectance", data=CUBE)
+        d.attrs["wavelengths"], d.attrs["_FillValue"] = [400.0, 500.0, 600.0], -9999.0
+        f[cubes.GRID_TEXT] = META
+    assert cubes.read_scenes(spark, str(tmp_path / "a.h5"), 450, 700).count() == 20
+
+
+def test_class_and_fraction_rasters(spark, tmp_path):
+    codes = np.array([[0, 1, 2, 3], [4, 5, 5, 255]], np.uint8)
+    g = Grid(0, 60, 30, 4, 2, "EPSG:32611")
+    (tmp_path / "c.tif").write_bytes(rasters.encode_geotiff(codes[None], g, 255))
+    got = {(r.row, r.col): r.code for r in rasters.read_classes(spark, str(tmp_path / "c.tif"), {0: -1}).collect()}
+    assert [got[i // 4, i % 4] for i in range(8)] == [-1, 1, 2, 3, 4, 4, 4, -1]
+    moved = rasters.read_classes(spark, str(tmp_path / "c.tif"), target=Grid(30, 60, 30, 4, 1, "EPSG:32611")).collect()
+    assert {r.col: r.code for r in moved} == {0: 1, 1: 2, 2: 3, 3: -1}
+    parts = np.stack([np.full((4, 4), v, np.float32) for v in (0.1, 0.2, 0.3, 0.4)])
+    (tmp_path / "f.tif").write_bytes(rasters.encode_geotiff(parts, Grid(0, 60, 15, 4, 4, "EPSG:32611")))
+    df, grid = rasters.read_fractions(spark, str(tmp_path / "f.tif"), 4)
+    assert df.count() == 4 and grid == Grid(0, 60, 30, 2, 2, "EPSG:32611") and df.first().soil == pytest.approx(0.4)
 
 
 def test_fraction_names():
