@@ -58,6 +58,12 @@ def trajectory_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("v_mean"), F.stddev_pop(value).alias("v_std"))
 
 
+def top_pixel(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, row, col, value) of the largest value, the first in row order of equals; missing ones never win."""
+    best = F.max_by(F.struct("row", "col", value), F.struct(value, -F.col("row"), -F.col("col")))
+    return df.filter(F.col(value).isNotNull()).groupBy(*by).agg(best.alias("t")).select(*by, "t.*")
+
+
 def recovery_slope(df: DataFrame, by: Sequence[str], day: str, value: str, baseline: Column) -> DataFrame:
     """From first to last date: slope a day, and days from the last to ``baseline`` (NULL unless the slope is positive)."""
     ends = df.groupBy(*by).agg(F.min_by(value, day).alias("v0"), F.max_by(value, day).alias("v1"), F.datediff(F.max(day), F.min(day)).alias("days"), F.max(baseline).alias("baseline"))

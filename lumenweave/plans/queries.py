@@ -11,6 +11,7 @@ from lumenweave.functions import arrays, projection
 from lumenweave.functions.bands import MULTISPECTRAL, at, sensor
 from lumenweave.functions.missing import array_to_null, normalized_difference
 from lumenweave.operators import accuracy, aggregates, catalog, grid, hull, indices, library, masks, moisture, provenance, severity, unmix
+from lumenweave.plans import sqlfunctions
 from lumenweave.plans import views as v
 from lumenweave.streaming import trajectory as live
 
@@ -459,6 +460,12 @@ def quicklook_range(spark, d):
     return aggregates.quicklook_range(v.big(spark, d), "b4").select(r6("v_low").alias("v_low"), r6("v_high").alias("v_high"))
 
 
+@query(f'WITH {v.PX}, i AS (SELECT r, c, label, {v.NDVI} AS x FROM px) SELECT label AS category, r AS "row", c AS "col", round(x, 6) AS ndvi FROM i WHERE x IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY x DESC, r, c) = 1')
+def top_pixel(spark, d):
+    p = v.px(spark, d).select("row", "col", "category", indices.ndvi(F.col("spectrum"), v.BANDS).alias("ndvi"))
+    return aggregates.top_pixel(p, "ndvi", ["category"]).select("category", "row", "col", r6("ndvi").alias("ndvi"))
+
+
 # --- severity
 
 _CAL = f"{v.BIG}, cal AS (SELECT code, b4 - 0.4 * code AS x FROM big), med AS (SELECT code, count(*) AS n, median(x) AS m FROM cal GROUP BY code)"
@@ -682,9 +689,28 @@ def plsr_predict(spark, d):
     return moisture.predict_lfmc(p.select("row", "col", "spectrum"), pls).select("row", "col", F.round("lfmc", 3).alias("lfmc"), "low_lfmc")
 
 
+# --- SQL functions
+
+
+@query(f"WITH {v.BIG} SELECT l_orderkey, l_linenumber, round({v.nd('b1', 'b4')}, 6) AS nd, (b3 >= 0.1)::INT + (b3 >= 0.27)::INT + (b3 >= 0.44)::INT + (b3 >= 0.66)::INT AS cls FROM big")
+def sql_functions(spark, d):
+    sqlfunctions.register(spark)
+    return v.big(spark, d).select("l_orderkey", "l_linenumber", r6(F.expr("lw_nd(b1, b4)")).alias("nd"), F.expr("lw_dnbr_class(b3)").alias("cls"))
+
+
 # --- provenance, catalog, streaming
 
 
+_KNOWN = "known(scene_id, n) AS (VALUES ('s0', 0), ('s1', 1), ('s2', 2)), it AS (SELECT o_orderkey, 's' || (o_orderkey % 5) AS scene_id FROM orders)"
+
+
+@query(f"WITH {_KNOWN} SELECT o_orderkey, CASE n WHEN 0 THEN 'pre-fire' WHEN 1 THEN 'post-fire' END AS phase FROM it LEFT JOIN known USING (scene_id) WHERE coalesce(n, 0) <> 2")
+def scene_phases(spark, d):
+    known = spark.createDataFrame([("s0", "pre-fire", "a", -1), ("s1", "post-fire", "a", 3), ("s2", "other", None, None)], "scene_id string, phase string, fire_complex string, days_relative_to_ignition int")
+    items = v.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("s"), (F.col("o_orderkey") % 5).cast("string")).alias("scene_id"), F.col("o_orderdate").alias("datetime"))
+    return catalog.with_phases(items, known).select("o_orderkey", "phase")
+
+
 _MEDIANS = "med(m, x) AS (VALUES " + ", ".join(f"({m}, {x})" for m, x in provenance.MONTHLY_LFMC.items()) + ")"
 
 
