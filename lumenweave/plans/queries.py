@@ -155,6 +155,14 @@ def continuum_removal(spark, d):
     return out.select("row", F.round(arrays.total(F.col("cr")), 5).alias("cr_sum"), r6(F.array_min("cr")).alias("cr_min"))
 
 
+@query()
+def continuum_removal_all(spark, d):
+    """Every pixel; ``continuum_removal`` keeps to the column that its SQL names."""
+    p = v.px(spark, d).withColumn("clamped", indices.clamp(F.col("spectrum")))
+    out, _ = hull.continuum_removal(p, v.BANDS, "clamped", "cr", 800, 2400)
+    return out.select("row", "col", F.round(arrays.total(F.col("cr")), 5).alias("cr_sum"), r6(F.array_min("cr")).alias("cr_min"))
+
+
 _S2 = sensor("SENTINEL2")
 _W2 = indices.response_weights(v.BANDS, _S2.wavelengths, _S2.fwhm, 33.65)
 
@@ -270,7 +278,8 @@ _PAIR = f"{v.PX}, {v.PX2}, a AS (SELECT r - 2 AS r, c - 3 AS c, {v.NBR} AS x FRO
 
 def _dnbr(spark, d) -> DataFrame:
     """Index first, then align: two numbers a pixel travel instead of two spectra."""
-    frames = {k: (p.filter("row < 20").select("row", "col", indices.nbr(F.col("spectrum"), v.BANDS).alias("nbr")), g) for k, p, g in (("pre", v.px(spark, d), v.GRID), ("post", v.px2(spark, d), v.GRID2))}
+    first, second = v.grids(spark, d)
+    frames = {k: (p.select("row", "col", indices.nbr(F.col("spectrum"), v.BANDS).alias("nbr")), g) for k, p, g in (("pre", v.px(spark, d), first), ("post", v.px2(spark, d), second))}
     both, _ = grid.align(frames, ["nbr"])
     pre, post = both["pre"].withColumnRenamed("nbr", "nbr_pre"), both["post"].withColumnRenamed("nbr", "nbr_post")
     return pre.join(post, ["row", "col"]).withColumn("dnbr", F.col("nbr_pre") - F.col("nbr_post"))
@@ -312,7 +321,10 @@ def reproject_bilinear(spark, d):
 @query()
 def reproject_cubic(spark, d):
     p = v.px(spark, d).select("row", "col", indices.nbr(F.col("spectrum"), v.BANDS).alias("nbr"))
-    return grid.reproject(p, v.GRID, _HALF, ["nbr"], "cubic").select("row", "col", r6("nbr").alias("nbr"))
+    whole, _ = v.grids(spark, d)
+    # All cells between the centres of the source.
+    target = grid.Grid(_HALF.west, _HALF.north, 30.0, whole.width - 2, whole.height - 2, whole.crs)
+    return grid.reproject(p, whole, target, ["nbr"], "cubic").select("row", "col", r6("nbr").alias("nbr"))
 
 
 _CELL = "CASE WHEN fx BETWEEN -0.5 AND 24.5 AND fy BETWEEN -0.5 AND 19.5 THEN"
@@ -354,7 +366,8 @@ def class_remap(spark, d):
 @query(f'WITH {v.PX}, t AS (SELECT unnest(range(0, 200)) AS id), g AS (SELECT id // 20 AS r, id % 20 AS c FROM t) SELECT CAST(g.r AS INTEGER) AS "row", CAST(g.c AS INTEGER) AS "col", CAST(coalesce(label, -1) AS SMALLINT) AS code FROM g LEFT JOIN px ON px.r = g.r * 2 + 1 AND px.c = g.c * 2 + 1')
 def align_classes(spark, d):
     p = v.px(spark, d).select("row", "col", F.col("category").cast("int").alias("code"))
-    return grid.align_classes(p, v.GRID, grid.Grid(v.GRID.west, v.GRID.north, 60.0, 20, 10, v.GRID.crs))
+    whole, _ = v.grids(spark, d)
+    return grid.align_classes(p, whole, grid.Grid(whole.west, whole.north, 60.0, 20, whole.height // 2, whole.crs))
 
 
 _SCENES = "sc AS (SELECT s_suppkey AS k, (s_suppkey * 37 % 100)::DOUBLE AS xmin, (s_suppkey * 53 % 100)::DOUBLE AS ymin, (s_suppkey * 37 % 100 + 5 + s_suppkey % 7)::DOUBLE AS xmax, (s_suppkey * 53 % 100 + 4 + s_suppkey % 5)::DOUBLE AS ymax FROM supplier)"
@@ -406,15 +419,17 @@ def mask_mean(spark, d):
 
 @query(f'WITH {v.PX}, i AS (SELECT r, c, {v.NBR} AS x FROM px WHERE r < 18 AND c < 24) SELECT r // 3 AS "row", c // 4 AS "col", round(avg(x), 6) AS nbr FROM i GROUP BY ALL')
 def coarsen(spark, d):
-    p = v.px(spark, d).filter("row < 20").select("row", "col", indices.nbr(F.col("spectrum"), v.BANDS).alias("nbr"))
-    return grid.coarsen(p, ["nbr"], 3, 4, 20, 25).select("row", "col", r6("nbr").alias("nbr"))
+    whole, _ = v.grids(spark, d)
+    p = v.px(spark, d).select("row", "col", indices.nbr(F.col("spectrum"), v.BANDS).alias("nbr"))
+    return grid.coarsen(p, ["nbr"], 3, 4, whole.height, whole.width).select("row", "col", r6("nbr").alias("nbr"))
 
 
 @query(f'WITH {v.PX}, i AS (SELECT r, c, {v.NBR} AS x FROM px WHERE r < 20 AND c < 24), m AS (SELECT r // 2 AS r, c // 2 AS c, avg(x) AS x FROM i GROUP BY ALL), g AS (SELECT unnest(range(0, 90)) AS id) SELECT CAST(id // 10 AS INTEGER) AS "row", CAST(id % 10 AS INTEGER) AS "col", round(x, 6) AS nbr FROM g LEFT JOIN m ON m.r = id // 10 + 1 AND m.c = id % 10 + 1')
 def aggregate_to_grid(spark, d):
-    p = v.px(spark, d).filter("row < 20").select("row", "col", indices.nbr(F.col("spectrum"), v.BANDS).alias("nbr"))
-    target = grid.Grid(v.GRID.west + 60, v.GRID.north - 60, 60.0, 10, 9, v.GRID.crs)
-    return grid.aggregate_to_grid(p, v.GRID, target, ["nbr"]).select("row", "col", r6("nbr").alias("nbr"))
+    whole, _ = v.grids(spark, d)
+    p = v.px(spark, d).select("row", "col", indices.nbr(F.col("spectrum"), v.BANDS).alias("nbr"))
+    target = grid.Grid(whole.west + 60, whole.north - 60, 60.0, 10, whole.height // 2 - 1, whole.crs)
+    return grid.aggregate_to_grid(p, whole, target, ["nbr"]).select("row", "col", r6("nbr").alias("nbr"))
 
 
 @query(f"WITH {v.BIG} SELECT code, count(*) AS n, round(100 * count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS percent FROM big GROUP BY code")
@@ -660,7 +675,8 @@ def mesma_three(spark, d):
 
 @query()
 def fraction_trajectories(spark, d):
-    scenes = {"2025-01-01": (v.px(spark, d).filter("row < 20"), v.GRID), "2025-03-01": (v.px2(spark, d).filter("row < 20"), v.GRID2)}
+    first, second = v.grids(spark, d)
+    scenes = {"2025-01-01": (v.px(spark, d), first), "2025-03-01": (v.px2(spark, d), second)}
     out = severity.trajectories(scenes, v.lib(spark, d, 2), engine="mesma", constraints=unmix.Constraints(max_rmse=10.0), levels=(2,))
     return out.select("ts", "row", "col", F.round("shade", 5).alias("shade"), F.round("rmse", 5).alias("rmse"))
 

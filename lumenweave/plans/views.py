@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from lumenweave.operators.grid import Grid
 
 N_BANDS = 64
 BANDS = Bands(tuple(380 + i * 2120 / 63 for i in range(N_BANDS)))
-#: The raster of ``px`` (its first 20 rows) and of ``px2``, which lies two rows and three columns off.
+#: The first 20 rows of the raster of ``px``, and of ``px2``, which lies two rows and three columns off; ``grids`` has all rows.
 GRID = Grid(350000.0, 3760000.0, 30.0, 25, 20, "EPSG:32611")
 GRID2 = Grid(350090.0, 3759940.0, 30.0, 25, 20, "EPSG:32611")
 FAR = 1500.0
@@ -35,6 +37,13 @@ def px2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px(spark, sf_dir).withColumn("spectrum", F.zip_with("spectrum", weights, lambda v, s: v * s))
 
 
+def grids(spark: SparkSession, sf_dir: str) -> tuple[Grid, Grid]:
+    """The grids of ``px`` and ``px2`` with as many rows as the table fills."""
+    last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    height = 1 if last is None else last // GRID.width + 1
+    return replace(GRID, height=height), replace(GRID2, height=height)
+
+
 def lib(spark: SparkSession, sf_dir: str, most: int = 6) -> DataFrame:
     """A library: the spectra of the lowest ids of each label, held to [0, 1]."""
     from pyspark.sql import Window
