@@ -182,8 +182,8 @@ _WL = indices.response_weights(v.BANDS, _TARGET.wavelengths, (60.0,) * 16, 33.65
 
 
 @query(f"WITH {v.PX}, {v.LIB}, q AS (SELECT id, [{v.clipped('x')} FOR x IN {_weights_sql(_WL)}] AS y FROM lib) SELECT id AS spectrum_id, round(list_sum(y), 6) AS s_sum, round(y[7], 6) AS s_seventh FROM q")
-def resample_library(spark, d):
-    out = library.resample_library(v.lib(spark, d), v.BANDS, _TARGET, 60.0, 33.65)
+def resample_library(spark, d, most=6):
+    out = library.resample_library(v.lib(spark, d, most), v.BANDS, _TARGET, 60.0, 33.65)
     return out.select("spectrum_id", r6(arrays.total(F.col("spectrum"))).alias("s_sum"), r6(at(F.col("spectrum"), 6)).alias("s_seventh"))
 
 
@@ -567,30 +567,44 @@ def compare_methods(spark, d):
 
 
 @query(f"WITH {v.PX}, {v.LIB}, e AS (SELECT id, category, unnest(s) AS x FROM lib), sd AS (SELECT id, category, stddev_pop(x) AS sd FROM e GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(sd, 12) DESC, id) AS n FROM sd) SELECT id AS spectrum_id, category FROM k WHERE n <= 2")
-def incob_topk(spark, d):
-    return library.most_varied(v.lib(spark, d), 2).select("spectrum_id", "category")
+def incob_topk(spark, d, most=6):
+    return library.most_varied(v.lib(spark, d, most), 2).select("spectrum_id", "category")
 
 
 _FISHER = "e AS (SELECT category, unnest(range(1, 65)) AS i, s FROM lib), b AS (SELECT i, category, count(*) AS n, avg(s[i]) AS m, var_pop(s[i]) AS w FROM e GROUP BY i, category), t AS (SELECT i, avg(s[i]) AS a FROM e GROUP BY i), f AS (SELECT i - 1 AS band, sum(n * (m - a) ** 2) / greatest(sum(n * w), 1e-12) AS fisher FROM b JOIN t USING (i) GROUP BY i)"
 
 
 @query(f"WITH {v.PX}, {v.LIB}, {_FISHER} SELECT CAST(band AS INTEGER) AS band, round(fisher, 6) AS fisher FROM f")
-def band_separability(spark, d):
-    return library.separability(v.lib(spark, d)).select("band", r6("fisher").alias("fisher"))
+def band_separability(spark, d, most=6):
+    return library.separability(v.lib(spark, d, most)).select("band", r6("fisher").alias("fisher"))
 
 
 @query(f"WITH {v.PX}, {v.LIB}, {_FISHER}, z AS (SELECT band, fisher, band // 4 AS zone FROM f) SELECT CAST(arg_max(band, fisher) AS INTEGER) AS band FROM z GROUP BY zone")
-def uszu_bands(spark, d):
-    found = library.pick_bands(v.lib(spark, d), 64, 16)
+def uszu_bands(spark, d, most=6):
+    found = library.pick_bands(v.lib(spark, d, most), 64, 16)
     return spark.range(1).select(F.explode(F.array(*[F.lit(i) for i in found])).alias("band"))
 
 
 @query(f"WITH {v.PX}, {v.LIB}, u AS (SELECT id, s, 0 AS k FROM lib UNION ALL SELECT id, s, 1 FROM lib WHERE category IN ('c1', 'c2')) SELECT CASE WHEN n > 1 THEN id || '_dup' || (n - 1) ELSE id END AS spectrum_id, round(list_sum(s), 6) AS s_sum FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM u)")
-def hybrid_merge(spark, d):
-    lib = v.lib(spark, d)
+def hybrid_merge(spark, d, most=6):
+    lib = v.lib(spark, d, most)
     return library.merge(lib, lib.filter("category in ('c1', 'c2')")).select("spectrum_id", r6(arrays.total(F.col("spectrum"))).alias("s_sum"))
 
 
+def _on_all(fn) -> None:
+    """Register ``fn`` a second time, with every row of ``px`` as its library."""
+
+    def run(spark, d):
+        return fn(spark, d, None)
+
+    run.__name__ = f"{fn.__name__}_all"
+    query(ORACLES[fn.__name__].replace(v.LIB, v.LIB_ALL))(run)
+
+
+for _fn in (resample_library, incob_topk, band_separability, uszu_bands, hybrid_merge):
+    _on_all(_fn)
+
+
 _DOT = "list_sum([{a}[i] * {b}[i] FOR i IN range(1, 65)])"
 _AA, _BB, _AB = (_DOT.format(a=a, b=b) for a, b in (("a.s", "a.s"), ("b.s", "b.s"), ("a.s", "b.s")))
 

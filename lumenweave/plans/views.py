@@ -44,11 +44,13 @@ def grids(spark: SparkSession, sf_dir: str) -> tuple[Grid, Grid]:
     return replace(GRID, height=height), replace(GRID2, height=height)
 
 
-def lib(spark: SparkSession, sf_dir: str, most: int = 6) -> DataFrame:
-    """A library: the spectra of the lowest ids of each label, held to [0, 1]."""
+def lib(spark: SparkSession, sf_dir: str, most: int | None = 6) -> DataFrame:
+    """A library: the spectra of the lowest ids of each label (of all ids without ``most``), held to [0, 1]."""
     from pyspark.sql import Window
 
-    e = px(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy("vec_id"))).filter(F.col("n") <= most)
+    e = px(spark, sf_dir)
+    if most is not None:
+        e = e.withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy("vec_id"))).filter(F.col("n") <= most)
     return e.select(
         F.format_string("s%05d", "vec_id").alias("spectrum_id"), F.concat(F.lit("n"), F.col("vec_id").cast("string")).alias("name"), F.concat(F.lit("c"), F.col("category").cast("string")).alias("category"), F.lit("px").alias("source"),
         F.transform("spectrum", lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))).alias("spectrum"),
@@ -90,6 +92,7 @@ PX = "px AS (SELECT CAST(vec_id // 25 AS INTEGER) AS r, CAST(vec_id % 25 AS INTE
 _SCALE = "[" + ", ".join("CAST(0.8 AS DOUBLE)" if w < FAR else "CAST(0.5 AS DOUBLE)" for w in BANDS.wavelengths) + "]"
 PX2 = f"px2 AS (SELECT r, c, [s[i] * {_SCALE}[i] FOR i IN range(1, 65)] AS s, label, vec_id FROM px)"
 LIB = "lib AS (SELECT printf('s%05d', vec_id) AS id, 'c' || label AS category, [least(greatest(v, 0.0), 1.0) FOR v IN s] AS s, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM px) WHERE n <= 6)"
+LIB_ALL = "lib AS (SELECT printf('s%05d', vec_id) AS id, 'c' || label AS category, [least(greatest(v, 0.0), 1.0) FOR v IN s] AS s, vec_id FROM px)"
 PTS = "pts AS (SELECT event_id, CAST(349950 AS DOUBLE) + (event_id * 7 % 850) AS x, CAST(3759370 AS DOUBLE) + (event_id * 11 % 680) AS y, CAST(user_id % 5 AS INTEGER) AS ordinal FROM events)"
 BIG = "big AS (SELECT l_orderkey, l_linenumber, l_quantity / CAST(50 AS DOUBLE) AS b1, l_discount * CAST(10 AS DOUBLE) AS b2, l_tax * CAST(10 AS DOUBLE) AS b3, l_extendedprice / CAST(100000 AS DOUBLE) AS b4, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS code, l_linestatus AS status, l_suppkey FROM lineitem)"
 _F = [f"abs(s[{i + 1}] - CAST(0.5 AS DOUBLE))" for i in range(6)]

@@ -81,3 +81,20 @@ def test_continuum_of_all_pixels(spark, whole):
     for i in range(0, N, 97):
         cr = hull_ratio(x, np.clip(s[i][kept], 0, 1))
         assert np.allclose(found[i // WIDTH, i % WIDTH], (cr.sum(), cr.min()), atol=2e-5)
+
+
+def test_libraries_of_all_spectra(spark, whole):
+    d, s, label = whole
+    lib = np.clip(s, 0, 1)
+    ids = [f"s{i:05d}" for i in range(N)]
+    assert {r.spectrum_id for r in QUERIES["resample_library_all"](spark, d).collect()} == set(ids)
+    merged = {r.spectrum_id: r.s_sum for r in QUERIES["hybrid_merge_all"](spark, d).collect()}
+    want = dict(zip(ids, lib.sum(1))) | {f"{ids[i]}_dup1": lib[i].sum() for i in np.flatnonzero(np.isin(label, (1, 2)))}
+    assert merged.keys() == want.keys() and all(abs(merged[k] - want[k]) < 1e-5 for k in want)
+    best = {ids[i] for c in set(label) for i in sorted(np.flatnonzero(label == c), key=lambda i: -lib[i].std())[:2]}
+    assert {r.spectrum_id for r in QUERIES["incob_topk_all"](spark, d).collect()} == best
+    groups = [lib[label == c] for c in sorted(set(label))]
+    fisher = sum(len(g) * (g.mean(0) - lib.mean(0)) ** 2 for g in groups) / sum(len(g) * g.var(0) for g in groups)
+    found = {r.band: r.fisher for r in QUERIES["band_separability_all"](spark, d).collect()}
+    assert sorted(found) == list(range(64)) and np.allclose([found[b] for b in range(64)], fisher, atol=2e-6)
+    assert sorted(r.band for r in QUERIES["uszu_bands_all"](spark, d).collect()) == [z + int(fisher[z : z + 4].argmax()) for z in range(0, 64, 4)]
