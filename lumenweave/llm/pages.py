@@ -37,18 +37,20 @@ COVERED = 0.8
 #: Characters of html that a chunk holds at most (one page at least), and that a task gets on average.
 CHUNK_CHARS, TASK_BYTES = 16 << 20, 16 << 20
 
-#: Elements that break blocks, that hold no content, that are void, and what names boilerplate.
+#: Elements that break blocks, that hold no content, that are void, whose attributes may name boilerplate, and what names it.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul".split())
 DROPPED = frozenset("nav header footer aside form head script style noscript template iframe svg math button select option textarea menu dialog object embed canvas audio video title fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMES = frozenset("ad ads advert advertisement adverts advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus footer masthead share sharing social related newsletter subscribe signup popup modal overlay pagination widget toolbar".split())
+NAMED = (BLOCKS | {"td", "th", "caption"}) - {"html", "body"}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute after another, values taken whole, so that none is found within the value of another.
+ATTRIBUTE = re.compile(r"(=?[^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -130,7 +132,7 @@ def parse(html: str) -> Page:
         if name in ("article", "main"):
             # An article inside an unclosed menu or advert is an article all the same.
             main, dropped, page.has_main = True, names_boilerplate(m[4] or m[7] or ""), True
-        elif name in DROPPED or (name not in ("html", "body") and names_boilerplate(m[4] or m[7] or "")):
+        elif name in DROPPED or (name in NAMED and names_boilerplate(m[4] or m[7] or "")):
             if not dropped:
                 close()
             dropped = True

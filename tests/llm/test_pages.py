@@ -37,6 +37,21 @@ def test_markup(given, want):
     assert one(given) == want
 
 
+@pytest.mark.parametrize(
+    "given, want",
+    [
+        ("<article><p>see <a href='/hidden-gems'>gems</a> here</p></article>", "see gems here"),
+        ('<article><p title="a hidden lake">x</p><div style="overflow:hidden">y</div></article>', "x\n\ny"),
+        ('<article data-id="menu" title="hidden"><p>x <a href="/p?id=related">y</a> <b data-class=ad>z</b></p></article>', "x y z"),
+        ("<article><p>a <span class=notice>b</span> c</p></article>", "a b c"),
+        ("<p CLASS = 'ad'>x</p><p data-x=1 hidden>x</p><p title='t'id=menu>x</p><table><tr><td class=ad>x</td><td>y</td></tr></table>", "y"),
+        ("<div title=\"a hidden lake>x</div>", "x"),
+    ],
+)
+def test_attributes_that_only_look_like_boilerplate(given, want):
+    assert one(given) == want
+
+
 def test_long_broken_markup_takes_linear_time():
     for bad in ("<" * 200_000, "<a " * 60_000, '<a b="' * 40_000, "<!--" * 50_000, "&amp" * 50_000, "<div>" * 50_000, "<div>" * 30_000 + "</p>" * 30_000):
         assert isinstance(one(bad), str)
