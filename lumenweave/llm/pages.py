@@ -1,8 +1,9 @@
 """Main text of HTML pages: a suffix array of each host's token streams finds boilerplate.
 
 The pages of a host, ``CHUNK_PAGES`` at a time, are concatenated as streams of words, and the suffixes of the whole
-are sorted by prefix doubling as far as ``RUN`` words. Runs of RUN words or more that stand on distinct pages are
-covered; a block (a paragraph, heading, list item ...) whose words are mostly covered is boilerplate, the other runs
+are sorted by prefix doubling as far as ``RUN`` words. Where a host takes several chunks and repetition decides on any
+of its pages, hashes of all its runs of RUN words are counted over the whole host, so that chunks don't change results.
+Runs of RUN words or more that stand on distinct pages are covered; a block (a paragraph, heading, list item ...) whose words are mostly covered is boilerplate, the other runs
 are unique to their page and kept.
 
 Repetition alone can't give the article of every page: articles are copied between pages, and a menu may stand on
@@ -25,9 +26,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenweave.llm.shared import cut, slices, store
 from lumenweave.llm.urls import split_url
 
 #: Words of a repeated run, pages of a host taken together, hosts whose pages are dealt to several tasks.
@@ -175,17 +178,64 @@ def covered_words(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]
     return [covered[s : s + n] for s, n in zip(starts, lengths)]
 
 
-def extract(htmls: list[str | None]) -> list[str]:
-    """Main texts of pages of one host."""
-    parsed = [parse(h or "") for h in htmls]
+def streams_of(parsed: list[Page]) -> tuple[list[np.ndarray], list[list[int]], dict[str, int]]:
+    """Of each page the numbers of its words and the words in each block; the words' numbers."""
     number: dict[str, int] = {}
     streams, sizes = [], []
     for page in parsed:
         words = [b.text.split(" ") for b in page.blocks]
         sizes.append([len(w) for w in words])
         streams.append(np.array([number.setdefault(x, len(number)) for w in words for x in w], np.int64))
+    return streams, sizes, number
+
+
+def window_keys(streams: list[np.ndarray], number: dict[str, int], host: str) -> list[np.ndarray]:
+    """Of each stream a 64-bit hash of the host and each run of RUN words."""
+    hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in number], np.uint64)
+    seed, out = np.uint64(xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), 1)), []
+    for s in streams:
+        words, n = hashes[s], max(0, len(s) - RUN + 1)
+        h = np.full(n, seed, np.uint64)
+        for k in range(RUN):
+            h = (h ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        out.append(h.view(np.int64))
+    return out
+
+
+def undecided(page: Page) -> bool:
+    """Whether repetition decides on a block of the page."""
+    return not page.has_main and not all(b.dropped for b in page.blocks)
+
+
+def chunk_windows(htmls: list[str | None], host: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of all runs on pages of one host, on how many of the pages they stand (2 for more), and whether a block depends on them."""
+    parsed = [parse(h or "") for h in htmls]
+    streams, sizes, number = streams_of(parsed)
+    keys = window_keys(streams, number, host)
+    needed = [np.empty(0, np.int64)]
+    for page, size, k in zip(parsed, sizes, keys):
+        if len(k) and undecided(page):
+            open_words = np.cumsum([0, *np.repeat([not b.dropped for b in page.blocks], size)])
+            needed.append(k[open_words[RUN:] > open_words[:-RUN]])
+    found, n = np.unique(np.concatenate([np.empty(0, np.int64), *map(np.unique, keys)]), return_counts=True)
+    return found, np.minimum(n, 2), np.isin(found, np.concatenate(needed))
+
+
+def extract(htmls: list[str | None], host: str = "", shared: np.ndarray | None = None) -> list[str]:
+    """Main texts of pages of one host; ``shared`` has the keys of runs that stand on several pages of it, these or others."""
+    parsed = [parse(h or "") for h in htmls]
+    streams, sizes, number = streams_of(parsed)
+    covers = covered_words(streams)
+    if shared is not None and len(shared):
+        for cover, keys in zip(covers, window_keys(streams, number, host)):
+            hit = np.zeros(len(cover) + 1, np.int64)
+            begin = np.flatnonzero(np.isin(keys, shared))
+            np.add.at(hit, begin, 1)
+            np.add.at(hit, begin + RUN, -1)
+            cover |= np.cumsum(hit)[:-1] > 0
     texts = []
-    for page, size, covered in zip(parsed, sizes, covered_words(streams)):
+    for page, size, covered in zip(parsed, sizes, covers):
         kept, at = [], 0
         for block, n in zip(page.blocks, size):
             repeated = covered[at : at + n].sum() >= COVERED * n
@@ -198,34 +248,80 @@ def extract(htmls: list[str | None]) -> list[str]:
     return texts
 
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.ndarray | None]]:
+    """Rows (page_id, url, html, host, salt, chunk, keys) of one host and salt, so many at a time, and the shared keys that lead the chunk."""
+    held: list[tuple] = []
+    chars, chunk, shared = 0, None, None
+    for batch in batches:
+        keys = batch.column(6)
+        for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]))):
+            size = len(row[2] or "")
+            if held and (keys[i].is_valid or row[3:] != held[0][3:] or len(held) >= CHUNK_PAGES or chars + size > CHUNK_CHARS):
+                yield held, shared if chunk == held[0][5] else None
+                held, chars = [], 0
+            if keys[i].is_valid:
+                chunk, shared = row[5], np.sort(keys[i].values.to_numpy())
+                continue
+            held.append(row)
+            chars += size
+    if held:
+        yield held, shared if chunk == held[0][5] else None
+
+
+def few(hosts: DataFrame) -> DataFrame:
+    """``hosts``, to be broadcast if there are at most HOT_HOSTS of them, so that pages needn't travel to be filtered."""
+    names = hosts.select("host")
+    return F.broadcast(names) if names.limit(HOT_HOSTS + 1).count() <= HOT_HOSTS else names
+
+
+def shared_runs(dealt: DataFrame, rows: DataFrame, wide: DataFrame) -> DataFrame | None:
+    """(chunk, keys): of each chunk of the hosts that take several, the runs its undecided blocks share with any page of the host.
+
+    None if no such host has an undecided block. The runs of those hosts are counted by their hashes, each once a page.
+    """
+
+    def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = {h for h, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if undecided(parse(x or ""))}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["host"])
+
+    open_hosts = cut(rows.join(few(wide), "host", "left_semi").select("host", "html").mapInArrow(hosts, "host string").distinct())
+    if not open_hosts.limit(1).count():
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, _ in chunks(batches):
+            keys, n, needed = chunk_windows([r[2] for r in held], held[0][3])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), held[0][5], np.int64)), pa.array(keys), pa.array(n), pa.array(needed)], names=["chunk", "key", "n", "needed"])
+
+    counted = store(dealt(rows.join(few(open_hosts), "host", "left_semi"), None).mapInArrow(run, "chunk long, key long, n long, needed boolean"), "runs")
+    several = counted.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+    return counted.filter("needed").select("chunk", "key").join(several, "key").groupBy("chunk").agg(F.collect_set("key").alias("keys"))
+
+
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row a page: page_id, url, text, n_chars."""
     host, _ = split_url(F.col(url))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
-    hot = rows.groupBy("host").count().filter(F.col("count") > CHUNK_PAGES).orderBy(F.desc("count"), "host").limit(HOT_HOSTS)
-    salts = hot.select("host", F.ceil(F.col("count") / CHUNK_PAGES).alias("salts"))
+    sizes = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))
+    wide = cut(sizes.select("host", F.ceil(F.greatest(F.col("n") / CHUNK_PAGES, F.coalesce("chars", F.lit(0)) / CHUNK_CHARS)).alias("salts")).filter("salts > 1"))
+    salts = wide.orderBy(F.desc("salts"), "host").limit(HOT_HOSTS)
     total = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
-    # At most HOT_HOSTS rows are broadcast; hosts beyond them are cut into chunks within their task.
-    salted = rows.join(F.broadcast(salts), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.coalesce("salts", F.lit(1))))
-    dealt = salted.repartition(int(parts), "host", "salt").sortWithinPartitions("host", "salt", "page_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        chars = 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                size = len(row[2] or "")
-                if held and (row[3:] != held[0][3:] or len(held) >= CHUNK_PAGES or chars + size > CHUNK_CHARS):
-                    yield done(held)
-                    held, chars = [], 0
-                held.append(row)
-                chars += size
-        if held:
-            yield done(held)
+    def dealt(some: DataFrame, shared: DataFrame | None) -> DataFrame:
+        """Rows dealt by chunk, the shared keys of a chunk before its pages."""
+        # At most HOT_HOSTS rows are broadcast; hosts beyond them are cut into chunks within their task.
+        salted = some.join(F.broadcast(salts), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.coalesce("salts", F.lit(1))))
+        out = salted.select("page_id", "url", "html", "host", "salt", F.xxhash64("host", "salt").alias("chunk"), F.lit(None).cast("array<bigint>").alias("keys"))
+        if shared is not None:
+            out = out.unionByName(shared, allowMissingColumns=True)
+        return out.repartition(int(parts), "chunk").sortWithinPartitions("chunk", F.col("keys").isNull(), "host", "salt", "page_id")
 
-    def done(held: list[tuple]) -> pa.RecordBatch:
-        texts = extract([r[2] for r in held])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, shared in chunks(batches):
+            texts = extract([r[2] for r in held], held[0][3], shared)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return dealt.select("page_id", "url", "html", "host", "salt").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return dealt(rows, shared_runs(dealt, rows, wide)).mapInArrow(run, "page_id long, url string, text string, n_chars long")

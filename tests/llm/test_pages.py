@@ -93,6 +93,23 @@ def test_pages(spark, monkeypatch):
     assert pages.extract_pages(df.limit(0)).collect() == []
 
 
+def test_chunks_do_not_change_what_repeats_on_a_host(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    note = [" ".join(f"note{k}x{i}" for i in range(20)) for k in range(12)]
+    on = [set(rng.choice(120, 2, replace=False).tolist()) for _ in note]
+    htmls = []
+    for i in range(120):
+        own = f"<p>{' '.join(f'w{i}x{j}' for j in range(30))}</p>"
+        noted = "".join(f"<p>{n}</p>" for n, p in zip(note, on) if i in p)
+        htmls.append(f"<main>{own}{noted}</main>" if i % 10 == 0 else f"<nav>menu</nav>{own}{noted}")
+    df = spark.createDataFrame([(i, "http://hot.com/", h) for i, h in enumerate(htmls)] + [(999, "http://other.com/", f"<p>{note[0]}")], "page_id long, url string, html string")
+    want = dict(enumerate(pages.extract(htmls))) | {999: note[0]}
+    assert not any("note" in want[i] for i in range(120) if i % 10)
+    for chunk in (256, 5):
+        monkeypatch.setattr(pages, "CHUNK_PAGES", chunk)
+        assert {r.page_id: r.text for r in pages.extract_pages(df).collect()} == want
+
+
 def test_query(spark):
     from lumenweave.llm.queries import op5_html_extraction
 
