@@ -3,6 +3,8 @@
 Each language has a codeword; for each bit a linear classifier on hashed byte n-grams of the lower-cased text
 predicts it (ridge regression, fitted together). A text gets the language of the nearest codeword, bits being
 weighted by how well their classifiers do on the training sample and by the exponential loss of their outputs.
+The score is how far the second codeword's loss lies above the best one's (0 at a tie, towards 1 as it grows), so
+that it means the same for any number of languages; a text with a low score is ambiguous.
 The training sample is bounded: about ``SAMPLE_PER_LANGUAGE`` documents a language, chosen by a hash of their id;
 its features (at most that many vectors a language, of ``DIMENSIONS`` numbers) come to the driver.
 
@@ -28,7 +30,7 @@ from lumenweave.llm.shared import slices
 GRAMS, DIMENSIONS, SAMPLE_PER_LANGUAGE, RIDGE, TEXT_BYTES = (1, 2, 3), 2048, 600, 1e-3, 1 << 20
 #: A prediction whose score is below this is flagged as ambiguous.
 AMBIGUOUS = 0.4
-#: How sharply losses turn into scores.
+#: How sharply the margin between two losses turns into a score.
 SHARPNESS = 4.0
 
 _SPACED = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -82,8 +84,10 @@ class Model:
         out = np.clip(x @ self.weights + self.bias, -3, 3)
         loss = (np.exp(-out[:, None, :] * self.code[None]) * self.trust).sum(2)
         best = loss.argmin(1)
-        share = np.exp(-SHARPNESS * (loss - loss.min(1, keepdims=True)))
-        return best, 1 / share.sum(1)
+        if loss.shape[1] < 2:
+            return best, np.ones(len(loss))
+        least = np.partition(loss, 1, axis=1)
+        return best, 1 - np.exp(-SHARPNESS * (least[:, 1] - least[:, 0]))
 
 
 def fit(labels: list[str], x: np.ndarray) -> Model:

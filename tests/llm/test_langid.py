@@ -82,6 +82,25 @@ def test_stage_keeps_clean_documents(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _, _ in data}
 
 
+@pytest.mark.parametrize("k", [2, 3, 4, 7, 8, 20])
+def test_a_tie_is_ambiguous_for_any_number_of_languages(k):
+    code = langid.codewords(k)
+    x = np.zeros((1, langid.DIMENSIONS))
+    for out, ambiguous in ((code[0] + code[1]) / 2, True), (0.8 * (code[0] + code[1]) / 2, True), (code[0], False), (0.8 * code[0], False):
+        model = langid.Model([f"l{i}" for i in range(k)], code, np.zeros((langid.DIMENSIONS, code.shape[1])), out, np.full(code.shape[1], 1 / code.shape[1]))
+        best, score = model.decide(x)
+        assert best[0] in (0, 1) and (score[0] < langid.AMBIGUOUS) == ambiguous
+
+
+@pytest.mark.parametrize("langs", [("aa", "bb"), tuple(SYLLABLES)])
+def test_texts_of_two_languages_are_flagged(spark, langs):
+    df = frame(spark, [(i, text(langs[i % len(langs)]), langs[i % len(langs)]) for i in range(200)])
+    a, b = text("aa").split(), text("bb").split()
+    mixed = frame(spark, [(n, " ".join(a[: 60 - n] + b[:n]), None) for n in range(61)])
+    flagged = {r.doc_id for r in langid.predict(mixed, langid.train(df)).collect() if r.ambiguous}
+    assert flagged and flagged <= set(range(10, 51))
+
+
 def test_query(spark):
     from lumenweave.llm.queries import op4_language_id
 
