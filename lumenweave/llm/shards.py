@@ -4,6 +4,7 @@ Documents with equal texts form a group that no cut may split. Groups are ordere
 text and gathered, by its leading ``BUCKET_BITS`` bits, into atomic runs; only the sizes of the runs (at most
 2**BUCKET_BITS numbers, at every size of the corpus) reach the driver. There the smallest feasible capacity
 of a shard is found by bisection, each capacity checked greedily, and the runs are cut at it.
+Where a single run sets the capacity it gets a shard of its own, and the runs on its two sides are cut anew.
 
 Defined results: a null text counts as an empty one (size 1) and shares its group; rows that repeat share a
 shard and take slots of their own; ties in a slot's order are rows equal in all that is returned; an empty
@@ -51,6 +52,36 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, np.ndarray]:
     return low, cuts_for(low, ends, shards)
 
 
+def even_cuts(sizes: np.ndarray, shards: int) -> np.ndarray:
+    """Cuts of the smallest capacity, and where one run alone sets it, the runs before and after it cut the same way over the other shards."""
+    if len(sizes) == 0 or shards < 2:
+        return minimax_cuts(sizes, shards)[1]
+    capacity, cuts = minimax_cuts(sizes, shards)
+    k = int(sizes.argmax())
+    if sizes[k] < capacity or capacity * shards <= sizes.sum():
+        return cuts
+    before, after = sizes[:k], sizes[k + 1 :]
+    if not before.sum() or not after.sum():
+        left = shards - 1 if before.sum() else 0
+    else:
+        # The split of the other shards with the least capacity on both sides; a side with runs gets one at least.
+        low, high = 1, shards - 2
+        if high < low:
+            return cuts
+        while low < high:
+            mid = (low + high) // 2
+            if minimax_cuts(before, mid)[0] <= minimax_cuts(after, shards - 1 - mid)[0]:
+                high = mid
+            else:
+                low = mid + 1
+        left = min((x for x in (low - 1, low) if 1 <= x <= shards - 2), key=lambda x: max(minimax_cuts(before, x)[0], minimax_cuts(after, shards - 1 - x)[0]))
+    parts = [even_cuts(before, left)] if left else []
+    right = shards - 1 - left
+    parts += [np.array([k + 1])] + ([k + 1 + even_cuts(after, right)] if right else [])
+    out = np.concatenate(parts)
+    return np.where(np.arange(shards) == shards - 1, len(sizes), out)
+
+
 def bucket(h: Column) -> Column:
     return F.shiftright(h, 64 - BUCKET_BITS).cast("int")
 
@@ -62,7 +93,7 @@ def assign(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str
     # Numbered in the order of (hash, id), so that a large group of equal texts spreads over many tasks.
     placed = numbered(rows, "h", "doc_id", "text_crc32", "size")
     runs = placed.groupBy(bucket(F.col("h")).alias("b")).agg(F.sum("size"), F.count("*")).orderBy("b").collect()
-    _, cuts = minimax_cuts(np.array([r[1] for r in runs], dtype=np.int64), shards)
+    cuts = even_cuts(np.array([r[1] for r in runs], dtype=np.int64), shards)
     ranks = np.concatenate([[0], np.cumsum([r[2] for r in runs], dtype=np.int64)])
     # A shard begins at the first run after the cut before it; shards past the last run stay empty.
     starts = [0, *cuts[:-1].tolist()]

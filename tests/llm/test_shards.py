@@ -26,6 +26,27 @@ def test_capacity_is_the_least(seed):
     assert len(cuts) == k and cuts[-1] == len(sizes)
 
 
+def test_a_large_run_leaves_no_shard_empty():
+    rng = np.random.default_rng(1)
+    for at in (0, 7, 300, 999):
+        for large in (5000, 50_000):
+            sizes = rng.integers(1, 50, 1000)
+            sizes[at] = large
+            cuts = shards.even_cuts(sizes, 16)
+            loads = [int(p.sum()) for p in np.split(sizes, cuts[:-1])]
+            others = sorted(loads)[:-1]
+            assert len(cuts) == 16 and cuts[-1] == 1000 and max(loads) == large and min(others) > 0
+            if at in (0, 300, 999):
+                assert others[-1] <= 1.3 * sum(others) / 15 + 50
+    for _ in range(300):
+        sizes = rng.integers(1, 9, rng.integers(0, 12)) ** rng.integers(1, 4)
+        k = int(rng.integers(1, 9))
+        cuts = shards.even_cuts(sizes, k)
+        assert len(cuts) == k and cuts[-1] == len(sizes) and (np.diff(cuts) >= 0).all()
+        if len(sizes):
+            assert max(int(p.sum()) for p in np.split(sizes, cuts[:-1])) == shards.minimax_cuts(sizes, k)[0]
+
+
 def check(rows, docs, k):
     want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in docs)
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
