@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a temporary folder is made.
+    Only where the session names none and all runs in one process (``local``) a temporary folder is made; elsewhere
+    each executor would write to a disk of its own, so that is an error.
     """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lumenweave-"))
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lumenweave-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
