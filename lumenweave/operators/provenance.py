@@ -33,7 +33,7 @@ def verify_artifacts(artifacts: DataFrame, files: DataFrame, keys: DataFrame | N
     """(artifact_key, status): ok, missing, mismatch, not_bundled, no_checksum; unknown for asked ``keys`` without an entry."""
     held = artifacts.join(files.select("path", F.col("md5").alias("_md5")), "path", "left")
     status = (
-        F.when(~F.coalesce("bundled", F.lit(False)), "not_bundled").when(F.col("_md5").isNull(), "missing").when(F.col("checksum_md5").isNull(), "no_checksum").when(F.col("_md5") == F.col("checksum_md5"), "ok").otherwise("mismatch")
+        F.when(~F.coalesce("bundled", F.lit(False)), "not_bundled").when(F.coalesce("checksum_md5", F.lit("")) == "", "no_checksum").when(F.col("_md5").isNull(), "missing").when(F.col("_md5") == F.col("checksum_md5"), "ok").otherwise("mismatch")
     )
     out = held.select("artifact_key", status.alias("status"))
     return out if keys is None else keys.join(out, "artifact_key", "left").select("artifact_key", F.coalesce("status", F.lit("unknown")).alias("status"))

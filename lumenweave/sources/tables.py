@@ -29,14 +29,14 @@ SITE_SHEET = "LFMC data"
 
 
 def canonical_columns(names: list[str]) -> dict[str, str]:
-    """What each known column is renamed to: for each canonical name the first alias that occurs, case and margins aside."""
-    lower = {n.strip().lower(): n for n in names}
-    out = {}
-    for canonical, aliases in SITE_COLUMNS.items():
-        alias = next((a for a in aliases if a in lower), None)
-        if alias is not None and lower[alias] != canonical:
-            out[lower[alias]] = canonical
-    return out
+    """What columns are renamed to. Of several columns for one canonical name the alias that is listed first wins; case and margins are ignored."""
+    places = {alias: (rank, canonical) for canonical, aliases in SITE_COLUMNS.items() for rank, alias in enumerate(aliases)}
+    best: dict[str, tuple[int, str]] = {}
+    for name in names:
+        rank, canonical = places.get(name.strip().lower(), (0, ""))
+        if canonical:
+            best[canonical] = min(best.get(canonical, (len(places), "")), (rank, name))
+    return {name: canonical for canonical, (_, name) in best.items() if name != canonical}
 
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:

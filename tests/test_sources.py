@@ -78,6 +78,8 @@ def test_grid_metadata():
     assert rasters.grid_of_metadata(meta) == Grid(300000, 4000000, 30, 5, 4, "EPSG:32611") and meta["origin"] == "HE5_HDFE_GD_UL"
     with pytest.raises(ValueError, match="y_dim"):
         rasters.parse_grid_metadata(META.replace("YDim", "Y"))
+    spaced = rasters.parse_grid_metadata(META.replace("=", " = ").replace("(", "\t( ").replace("ZoneCode", "Zone") + 'GridName="HYP"\n')
+    assert spaced == meta | {"zone": None} and rasters.grid_of_metadata(spaced).crs is None
 
 
 class Field:
@@ -235,6 +237,7 @@ def test_sites(spark, tmp_path):
     with pytest.raises(ValueError, match="latitude"):
         tables.read_sites(spark, str(tmp_path / "c.csv"))
     assert tables.canonical_columns([" LAT ", "date", "Veg_Type"]) == {" LAT ": "latitude", "Veg_Type": "vegetation_type"}
+    assert tables.canonical_columns(["vegetation", "lat", "veg_type", "latitude", "lng", "long", "other"]) == {"veg_type": "vegetation_type", "long": "longitude"}
 
 
 def test_geojson(spark, tmp_path):
@@ -276,6 +279,8 @@ def test_provenance(spark, tmp_path):
     files = provenance.file_checksums(spark, str(tmp_path))
     got = {r.artifact_key: r.status for r in provenance.verify_artifacts(artifacts, files, asked).collect()}
     assert got == {"a": "ok", "b": "mismatch", "c": "missing", "d": "no_checksum", "e": "not_bundled", "x": "unknown"}
+    bare = spark.createDataFrame([("n", "gone", None, True), ("m", "gone", "", True)], "artifact_key string, path string, checksum_md5 string, bundled boolean")
+    assert {r.status for r in provenance.verify_artifacts(bare, files).collect()} == {"no_checksum"}
     found = sorted((r.claim_key, r.severity) for r in provenance.audit_claims(claims, artifacts).collect())
     assert found == [("k2", "error"), ("k3", "warning"), ("k4", "error"), ("k4", "error")]
     assert provenance.claims_table(claims).first().markdown.count("\n") == 6
