@@ -4,14 +4,19 @@ Level 0 encodes the listed keys. Level 1 encodes those other keys of the corpus
 level 2 the listed keys that level 1 lets through, and so on until nothing passes wrongly. Over the key
 universe the cascade was built on, a key is listed exactly if the first level that refuses it is an odd one.
 Keys are then looked up without a join; the levels are literals of the plan, of at most ``MAX_BITS`` bits each.
+A level's bits follow from the keys that it holds and from how many of the others may pass it wrongly, so that the
+next level holds no more than ``LEAST_PASSING`` keys (or as many as this one) however large the corpus is.
 
 Defined results: a null url or one without ``://`` has an empty host and path and fits no rule; a url that no
-rule fits is allowed; rows that repeat are judged one by one; an empty table gives an empty table; of other
-columns only the id and the url are read. Lists that don't fit ``MAX_BITS`` are joined instead.
+rule fits is allowed; of equally long rules that fit, the one that sorts last wins; rows that repeat are judged one
+by one; very long urls cost time by their length only, since no more labels of a host are looked up than a rule has;
+an empty table gives an empty table; of other columns only the id and the url are read. Where a level would not fit
+``MAX_BITS`` (a list of some hundred thousand rules) keys are joined with the rules instead, with equal results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lumenweave.llm.shared import cut
 
-#: Hash positions and bits per key of a level, and the proven bound of a level's size.
-HASHES, BITS_PER_KEY, MAX_BITS = 3, 8, 1 << 23
+#: Hash positions of a key, the proven bound of a level's bits, wrongly passing keys that any level may leave to the next.
+HASHES, MAX_BITS, LEAST_PASSING = 4, 1 << 23, 4096
 
 #: The rules of the registered query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -38,13 +43,13 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def candidates(host: Column, path: Column, path_lengths: Sequence[int]) -> Column:
-    """Keys under which a url may be listed, longest first: each host suffix with each path prefix of a listed length."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat_ws(".", F.slice(labels, i, n)))
-    prefixes = F.array(*[F.when(F.length(path) >= k, F.substring(path, 1, k)) for k in path_lengths])
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(F.array_compact(prefixes), lambda p: F.concat(s, p))))
+def candidates(host: Column, path: Column, most_labels: int, path_lengths: Sequence[int]) -> Column:
+    """Keys under which a url may be listed, longest first: the host's last labels, up to ``most_labels``, with each path prefix of a listed length."""
+    n = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+    suffixes = [F.when(n >= i, F.substring_index(host, ".", -i)) for i in range(1, most_labels + 1)]
+    prefixes = [F.when(F.length(path) >= k, F.substring(path, 1, k)) for k in path_lengths]
+    # concat of a missing part is missing
+    keys = F.array_compact(F.array(*[F.concat(s, p) for s in suffixes for p in prefixes]))
     return F.when(host != "", F.reverse(F.array_sort(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]))
 
 
@@ -67,28 +72,32 @@ class Level:
         return hit
 
 
-def level_of(keys: DataFrame, n: int, seed: int) -> Level:
-    """The filter of the ``n`` keys in column ``key``; its words, at most MAX_BITS / 64, come to the driver."""
-    bits = max(64, 1 << (n * BITS_PER_KEY - 1).bit_length())
-    if bits > MAX_BITS:
-        raise ValueError(f"{n} keys need more than {MAX_BITS} bits")
+def bits_for(n: int, others: int) -> int:
+    """Bits of a level of ``n`` keys that about as many or LEAST_PASSING of ``others`` pass wrongly, half of them at most."""
+    share = min(0.5, max(n, LEAST_PASSING) / max(1, others))
+    return 64 * max(1, math.ceil(n * HASHES / -math.log1p(-(share ** (1 / HASHES))) / 64))
+
+
+def level_of(keys: DataFrame, bits: int, seed: int) -> Level:
+    """The filter of the keys in column ``key``; its words, at most MAX_BITS / 64, come to the driver."""
     place = F.explode(F.array(*_places(F.col("key"), bits, seed)))
     words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
     held = dict(words.collect())
     return Level(seed, bits, tuple(held.get(i, 0) for i in range(bits // 64)))
 
 
-def build_cascade(universe: DataFrame, most_levels: int = 64) -> list[Level]:
-    """Levels for the distinct rows (key, listed) of ``universe``."""
+def build_cascade(universe: DataFrame, most_levels: int = 64) -> list[Level] | None:
+    """Levels for the distinct rows (key, listed) of ``universe``; None if one would exceed MAX_BITS or if they don't end."""
     levels: list[Level] = []
     inside, others = universe.filter("listed").select("key"), universe.filter("not listed").select("key")
-    n = inside.count()
-    while n and len(levels) < most_levels:
-        levels.append(level_of(inside, n, len(levels)))
+    n, rest = inside.count(), others.count()
+    while n:
+        bits = bits_for(n, rest)
+        if bits > MAX_BITS or len(levels) == most_levels:
+            return None
+        levels.append(level_of(inside, bits, len(levels)))
         inside, others = others.filter(levels[-1].passes(F.col("key"))), inside
-        n = inside.count()
-    if n:
-        raise RuntimeError(f"{n} keys still pass wrongly after {most_levels} levels")
+        n, rest = inside.count(), n
     return levels
 
 
@@ -104,23 +113,36 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, page_
     """One row a page: page_id, host, path, rule, verdict. ``rules`` are (host, path prefix, allow or block)."""
     host, path = split_url(F.col(url))
     parts = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    names = {h + p: v for h, p, v in rules}
-    lengths = sorted({len(p) for _, p, _ in rules})
-    keyed = parts.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
+    names = {h + p: v for h, p, v in rules if h and (not p or p[0] == "/")}  # no other rule fits a url
+    if not names:
+        return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
+    lengths = sorted({len(k) - len(k.partition("/")[0]) for k in names})
+    most_labels = max(k.partition("/")[0].count(".") + 1 for k in names)
+    keyed = parts.withColumn("keys", candidates(F.col("host"), F.col("path"), most_labels, lengths))
     universe = cut(keyed.select(F.explode("keys").alias("key")).distinct().withColumn("listed", F.col("key").isin(list(names))).withColumn("blocks", F.col("key").isin([k for k, v in names.items() if v == "block"])))
     all_keys = build_cascade(universe.select("key", "listed"))
     blocking = build_cascade(universe.select("key", F.col("blocks").alias("listed")))
+    if all_keys is None or blocking is None:
+        return judge_by_join(keyed, names)
     rule = F.get(F.filter("keys", lambda k: listed(all_keys, k)), F.lit(0))
     ruled = keyed.withColumn("rule", rule)
     verdict = F.when(F.col("rule").isNotNull() & listed(blocking, F.col("rule")), "block").otherwise("allow")
     return ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
+def judge_by_join(keyed: DataFrame, names: dict[str, str]) -> DataFrame:
+    """As ``judge`` for lists that no cascade holds: only distinct pairs of host and path meet the rules."""
+    rules = keyed.sparkSession.createDataFrame(list(names.items()), "key string, said string")
+    urls = keyed.select("host", "path", "keys").distinct().select("host", "path", F.explode("keys").alias("key"))
+    fits = urls.join(rules, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key"), "key", "said")).alias("best"))
+    return keyed.join(fits, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.said", F.lit("allow")).alias("verdict"))
+
+
 def member(keys: DataFrame, listing: DataFrame, key: str = "key") -> DataFrame:
     """``keys`` with a column ``listed``: whether the key is in ``listing``, of any size, by a cascade (or, past its bound, a join)."""
     known = listing.select(F.col(key).alias("key")).distinct().withColumn("hit", F.lit(True))
     universe = cut(keys.select(F.col(key).alias("key")).filter(F.col(key).isNotNull()).distinct().join(known, "key", "left").select("key", F.coalesce("hit", F.lit(False)).alias("listed")))
-    if universe.filter("listed").count() * BITS_PER_KEY * 2 > MAX_BITS:
-        return keys.join(known.select(F.col("key").alias(key), F.col("hit").alias("listed")), key, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     levels = build_cascade(universe)
+    if levels is None:
+        return keys.join(known.select(F.col("key").alias(key), F.col("hit").alias("listed")), key, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     return keys.withColumn("listed", F.coalesce(F.col(key).isNotNull() & listed(levels, F.col(key)), F.lit(False)))
