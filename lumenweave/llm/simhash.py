@@ -1,17 +1,21 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Fingerprints that differ in at most ``BUDGET`` of 64 bits agree in one of BUDGET + 1 = 4 blocks of 16 bits.
-Each distinct fingerprint is dealt to the four groups named by its blocks; a group is a binary trie (a sorted
-array, a node being a range of it) that is joined with itself: pairs of nodes go down together, add up the bits
-in which they differ and are dropped once these exceed the budget. A group of more than ``MOST_IN_GROUP``
-fingerprints is dealt again by blocks of its remaining bits, which keeps the join exact and the groups bounded.
-A task returns no pairs but a forest of the links it found, so a dense group costs as many rows as it has members;
+Distinct fingerprints are dealt to groups, and a group is a binary trie (a sorted array, a node being a range of it)
+that is joined with itself: pairs of nodes go down together from the root, add up the bits in which they differ and
+are dropped once these exceed the budget. Groups: fingerprints that differ in at most ``BUDGET`` of 64 bits agree in
+one of BUDGET + 1 = 4 blocks of bits, so each is dealt to the four groups named by its blocks. Blocks are as wide as
+makes groups of about ``GROUP`` fingerprints (a small corpus is one trie, blocks have 16 bits at most). A group of
+more than ``MOST_IN_GROUP`` is dealt again by blocks of its remaining bits, until none is left or no four bits are,
+which keeps the join exact and every group bounded. A task reads its groups in order and holds some at a time.
+It returns no pairs but a forest of the links it found, so a dense group costs as many rows as it has members;
 node pairs inside one found component are not descended any more. Components are the connected components of
 the forests, by alternating large-star and small-star steps on the cluster.
 
 Defined results: a null or wordless text has fingerprint zero; documents with equal fingerprints (repeated rows
-too) share a component; rows without a doc_id get a fingerprint, link nothing and have no component_id;
-an empty table gives an empty table; columns other than the id and the text are not read.
+too) share a component; rows that share a doc_id but not the text are documents of their own, linked only by their
+fingerprints; rows without a doc_id get a fingerprint, link nothing and have no component_id; very long texts are
+read in stretches of words; an empty table gives an empty table; columns other than the id and the text are not read
+and may have any names.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ from lumenweave.llm.shared import arrow_map, cut
 
 #: Words in a shingle, seed of its hash, bits that linked fingerprints may differ in.
 SHINGLE, SEED, BUDGET = 3, 42, 3
-#: Widths in bits of the blocks of a group's remaining bits, level by level.
-BLOCKS = (16, 12, 9)
-#: Fingerprints of a group above which it is dealt again, and node pairs that are held at a time.
-MOST_IN_GROUP, MOST_PAIRS = 200_000, 1 << 20
+#: Fingerprints of a group to aim for, those above which it is dealt again and that a task holds at a time, node pairs that are held at a time.
+GROUP, MOST_IN_GROUP, MOST_PAIRS = 4096, 200_000, 1 << 20
+#: Pairs of fingerprints below two nodes from which they count as leaves, below the root.
+LEAF_PAIRS = 16
 #: Bytes of a text whose words are held at a time.
 TEXT_BYTES = 4 << 20
 
@@ -80,13 +84,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number."""
+    """doc_id, fp (the fingerprint as a signed 64-bit number) and text_hash, which tells texts of one id apart."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    return arrow_map(rows, run, "doc_id long, fp long, text_hash long")
 
 
 # --- the trie join of the groups in one partition ------------------------------------------------------------
@@ -123,10 +128,26 @@ class Forest:
         return (c[ahi - 1] == c[alo]) & (c[bhi - 1] == c[blo]) & (label[alo] == label[blo])
 
 
-def trie_forest(key: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> np.ndarray:
+class Trie:
+    """Sorted groups of fingerprints as binary tries; a node is a range of positions and its children meet at ``middle``."""
+
+    def __init__(self, fp: np.ndarray):
+        self.fp, self.descents = fp, 0
+        self.ones: dict[int, np.ndarray] = {}
+
+    def middle(self, depth: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Where the fingerprints with a set bit at this depth begin in each node."""
+        if depth not in self.ones:
+            bit = (self.fp >> np.uint64(63 - depth)) & np.uint64(1)
+            self.ones[depth] = np.concatenate([np.zeros(1, np.int32), np.cumsum(bit, dtype=np.int32)])
+        ones = self.ones[depth]
+        return hi - (ones[hi] - ones[lo])
+
+
+def trie_forest(key: np.ndarray, fp: np.ndarray, budget: int = BUDGET, trie: Trie | None = None) -> np.ndarray:
     """Labels of ``fp`` (unsigned, sorted within sorted ``key``): linked positions of a group share their component's least."""
     n = len(fp)
-    forest = Forest(n)
+    forest, trie = Forest(n), trie or Trie(fp)
     if n < 2:
         return forest.label
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -135,7 +156,6 @@ def trie_forest(key: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> np.nda
     forest.link(i, i + 1)
     roots = ends - starts > 1
     zero = np.zeros(int(roots.sum()), np.int64)
-    ones = [np.concatenate([[0], np.cumsum((fp >> np.uint64(63 - d)) & np.uint64(1), dtype=np.int64)]) for d in range(64)]
     stack = [(0, starts[roots], ends[roots], starts[roots], ends[roots], zero)]
     while stack:
         depth, *pairs = stack.pop()
@@ -146,13 +166,14 @@ def trie_forest(key: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> np.nda
         alo, ahi, blo, bhi, diff = pairs
         keep = ~forest.joined(alo, ahi, blo, bhi)
         alo, ahi, blo, bhi, diff = (x[keep] for x in pairs)
-        small = (ahi - alo) * (bhi - blo) <= 64 if depth < 64 else np.ones(len(alo), bool)
-        compare(forest, fp, alo[small], ahi[small], blo[small], bhi[small], budget)
-        alo, ahi, blo, bhi, diff = (x[~small] for x in (alo, ahi, blo, bhi, diff))
+        if depth:
+            leaf = (ahi - alo) * (bhi - blo) <= LEAF_PAIRS if depth < 64 else np.ones(len(alo), bool)
+            compare(forest, fp, alo[leaf], ahi[leaf], blo[leaf], bhi[leaf], budget)
+            alo, ahi, blo, bhi, diff = (x[~leaf] for x in (alo, ahi, blo, bhi, diff))
         if not len(alo):
             continue
-        set_bits = ones[depth]
-        amid, bmid = ahi - (set_bits[ahi] - set_bits[alo]), bhi - (set_bits[bhi] - set_bits[blo])
+        trie.descents += len(alo)
+        amid, bmid = trie.middle(depth, alo, ahi), trie.middle(depth, blo, bhi)
         same = (alo == blo) & (ahi == bhi)
         down = [
             (alo, amid, blo, bmid, diff, slice(None)),
@@ -183,60 +204,85 @@ def compare(forest: Forest, fp: np.ndarray, alo, ahi, blo, bhi, budget: int) ->
         at = to
 
 
+def stretches(batches: Iterator[pa.RecordBatch], most: int = MOST_IN_GROUP) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, fp, node) of whole groups, ``most`` rows at a time (one group at least), of batches sorted by key and fp."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        # Copies, so that no batch outlives its turn.
+        key, fp, node = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("key", "fp", "node"))
+        at = 0
+        while at < len(key):
+            room = max(0, most - size)
+            # The first end of a group at which the stretch is full; a group that began in it belongs to it.
+            turns = np.flatnonzero(key[at + 1 :] != key[at:-1]) + at + 1 if len(key) - at > 1 else np.empty(0, np.int64)
+            if held and held[-1][0][-1] != key[at] and size >= most:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, size = [], 0
+                continue
+            k = int(np.searchsorted(turns, at + room))
+            to = int(turns[k]) if k < len(turns) else len(key)
+            held.append((key[at:to], fp[at:to], node[at:to]))
+            size += to - at
+            at = to
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def forest_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, fp, node) rows of whole groups to links (node, least node of its component here)."""
-    held = list(batches)
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    key, fp, node = t["key"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy()
-    order = np.lexsort((fp, key))
-    key, fp, node = key[order], fp[order], node[order]
-    label = trie_forest(key, fp)
-    least = np.full(len(node), np.iinfo(np.int64).max)
-    np.minimum.at(least, label, node)
-    out = pa.Table.from_arrays([pa.array(node), pa.array(least[label])], names=["u", "v"])
-    yield from out.filter(pa.array(node != least[label])).to_batches(max_chunksize=1 << 16)
+    """(key, fp, node) rows of whole groups, sorted by key, to links (node, least node of its component here)."""
+    for key, fp, node in stretches(batches):
+        fp = fp.view(np.uint64)
+        order = np.lexsort((fp, key))
+        key, fp, node = key[order], fp[order], node[order]
+        label = trie_forest(key, fp)
+        least = np.full(len(node), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, node)
+        found = np.flatnonzero(node != least[label])
+        for at in range(0, len(found), 1 << 16):
+            some = found[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(least[label[some]])], names=["u", "v"])
 
 
 # --- the join on the cluster ---------------------------------------------------------------------------------
 
 
-def deal(rows: DataFrame, level: int) -> DataFrame:
-    """Each row of (key, fp, node, rest) once for each block of the bits that ``key`` leaves free (``rest``, ``width`` of them)."""
-    width = 64 - sum(BLOCKS[:level])
-    size = BLOCKS[level]
+def deal(rows: DataFrame, width: int, size: int) -> DataFrame:
+    """Each row of (key, fp, node, rest) once for each of BUDGET + 1 blocks of ``size`` of the ``width`` bits in ``rest``, without them there."""
     blocks = []
     for i in range(BUDGET + 1):
         low = i * size
-        value = F.shiftrightunsigned("rest", low).bitwiseAND((1 << size) - 1) if i < BUDGET else F.shiftrightunsigned("rest", low)
-        # The bits of ``rest`` without this block, so that every level sees its free bits side by side.
+        value = F.shiftrightunsigned("rest", low).bitwiseAND((1 << size) - 1)
         high = F.shiftrightunsigned("rest", low + size) if low + size < 64 else F.lit(0).cast("long")
         rest = F.shiftleft(high, low).bitwiseOR(F.col("rest").bitwiseAND((1 << low) - 1))
-        key = F.shiftleft(F.shiftleft("key", 2).bitwiseOR(F.lit(i).cast("long")), size).bitwiseOR(value)
-        blocks.append(F.struct(key.alias("key"), rest.alias("rest")))
-    assert width == size * (BUDGET + 1)
+        # Should two keys ever be hashed to one, their groups are one trie: no link is lost by it.
+        blocks.append(F.struct(F.xxhash64("key", F.lit(width * 8 + i), value).alias("key"), rest.alias("rest")))
     return rows.select("fp", "node", F.explode(F.array(*blocks)).alias("b")).select(F.col("b.key").alias("key"), "fp", "node", F.col("b.rest").alias("rest"))
 
 
+def first_block(n: int) -> int:
+    """Bits of the first blocks of ``n`` fingerprints: 0 (one trie), or such that groups hold about GROUP of them."""
+    return min(64 // (BUDGET + 1), max(0, (n - 1) // (2 * GROUP)).bit_length())
+
+
 def link_forest(nodes: DataFrame, most_in_group: int = MOST_IN_GROUP) -> DataFrame:
     """Links (u, v), v the smaller, that connect what is linked among ``nodes`` (fp, node), both unique."""
     rows = nodes.select(F.lit(0).cast("long").alias("key"), "fp", "node", F.col("fp").alias("rest"))
-    parts = []
-    for level in range(len(BLOCKS)):
-        rows = deal(rows, level)
-        if level + 1 < len(BLOCKS):
-            rows = cut(rows)
-            large = cut(rows.groupBy("key").count().filter(F.col("count") > most_in_group).select("key"))
-            again = large.count() > 0
-        if level + 1 == len(BLOCKS) or not again:
+    parts, width, size = [], 64, first_block(nodes.count())
+    while True:
+        if size:
+            rows = cut(deal(rows, width, size))
+            width -= size
+        large = cut(rows.groupBy("key").count().filter(F.col("count") > most_in_group).select("key"))
+        size = width // (BUDGET + 1)
+        if not size or large.count() == 0:
             parts.append(rows)
             break
         parts.append(rows.join(large, "key", "left_anti"))
         rows = rows.join(large, "key", "left_semi")
     out = None
     for part in parts:
-        links = part.select("key", "fp", "node").repartition("key").mapInArrow(forest_of_partition, "u long, v long")
+        links = part.select("key", "fp", "node").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(forest_of_partition, "u long, v long")
         out = links if out is None else out.unionByName(links)
     return cut(out.distinct())
 
@@ -257,21 +303,39 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, fp (signed), component_id."""
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: doc_id, fp, text_hash, component_id and root, which names the component."""
     fps = cut(fingerprints(docs, doc_id, text))
-    nodes = cut(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    roots = components(link_forest(nodes))
-    named = cut(nodes.join(roots, nodes["node"] == roots["u"], "left").select("fp", F.coalesce("v", "node").alias("component_id")))
+    ids = cut(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
+    if ids.groupBy("id").count().filter("count > 1").limit(1).count():
+        # One id has several texts, so fingerprints name the nodes, and a component's least id is looked up after.
+        roots = components(link_forest(ids.select("fp", F.col("fp").alias("node"))))
+        rooted = cut(ids.join(roots, ids["fp"] == roots["u"], "left").select("fp", "id", F.coalesce("v", "fp").alias("root")))
+        named = cut(rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("fp", "component_id", "root"))
+    else:
+        roots = components(link_forest(ids.withColumnRenamed("id", "node")))
+        least = F.coalesce("v", "id")
+        named = cut(ids.join(roots, ids["id"] == roots["u"], "left").select("fp", least.alias("component_id"), least.alias("root")))
     out = fps.join(named, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "fp", "text_hash", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("component_id", "root")])
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: doc_id, fp (signed), component_id."""
+    return grouped(docs, doc_id, text).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component (the one of the least id), columns as they are."""
-    found = cut(near_duplicates(docs, doc_id, text))
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep"))
-    repeated = keep.groupBy("_keep").count().filter("count > 1").limit(1).count() > 0
+    """``docs`` with one document of each component, columns as they are: the one of the least id, if several texts have
+    it the one of the least fingerprint, and any one of the rows that are equal in id and text. Rows without an id stay."""
+    found = cut(grouped(docs, doc_id, text).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id"), "fp", "text_hash", "root"))
     rest = docs.filter(F.col(doc_id).isNull())
-    kept = docs.join(keep.distinct() if repeated else keep, docs[doc_id] == F.col("_keep"), "left_semi")
-    return (kept.dropDuplicates([doc_id]) if repeated else kept).unionByName(rest)
+    if not found.groupBy("id").count().filter("count > 1").limit(1).count():
+        return docs.join(found, docs[doc_id] == found["id"], "left_semi").unionByName(rest)
+    one = found.groupBy("root").agg(F.min(F.struct("fp", "text_hash", "id")).alias("one")).select("one.id", "one.text_hash")
+    name = "h"
+    while name in docs.columns:
+        name += "h"
+    hashed = docs.withColumn(name, F.xxhash64(F.col(text)))
+    kept = hashed.join(one, (hashed[doc_id] == one["id"]) & (hashed[name] == one["text_hash"]), "left_semi")
+    return kept.dropDuplicates([doc_id, name]).drop(name).unionByName(rest)

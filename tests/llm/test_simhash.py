@@ -83,3 +83,76 @@ def test_query(spark):
     fps = sorted((k, brute_fingerprint(t)) for k, t in docs.items())
     want = brute_components(fps)
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == [(k, f"{f:016x}", want[k]) for k, f in fps]
+
+
+def test_every_group_is_descended_from_its_root():
+    rng = np.random.default_rng(11)
+    fps = np.unique(rng.integers(0, 1 << 63, 6000, dtype=np.uint64))
+    near = fps[::50] ^ np.uint64(0b1001 << 20)
+    fps = np.unique(np.concatenate([fps, near]))
+    trie = simhash.Trie(fps)
+    label = simhash.trie_forest(np.zeros(len(fps), np.int64), fps, trie=trie)
+    want = brute_components([(i, int(f)) for i, f in enumerate(fps)])
+    assert [want[i] for i in range(len(fps))] == label.tolist()
+    # Far more node pairs than leaves of one group would need, far fewer than all pairs.
+    assert len(fps) < trie.descents < len(fps) ** 2 / 20
+    for small in (np.sort(rng.integers(0, 1 << 63, k, dtype=np.uint64)) for k in (2, 3)):
+        trie = simhash.Trie(small)
+        simhash.trie_forest(np.zeros(len(small), np.int64), small, trie=trie)
+        assert trie.descents > 0
+
+
+def batches_of(key, fp, node, rows):
+    import pyarrow as pa
+
+    for at in range(0, len(key), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + rows]) for x in (key, fp, node)], names=["key", "fp", "node"])
+
+
+def test_stretches_hold_whole_groups():
+    rng = np.random.default_rng(2)
+    for most, rows in ((1, 7), (10, 3), (10, 64), (1000, 5)):
+        key = np.repeat(np.arange(40), rng.integers(1, 9, 40))
+        got = list(simhash.stretches(batches_of(key, key * 2, key * 3, rows), most))
+        assert np.array_equal(np.concatenate([k for k, _, _ in got]), key)
+        assert all(np.array_equal(f, 2 * k) and np.array_equal(n, 3 * k) for k, f, n in got)
+        assert all(a[0][-1] != b[0][0] for a, b in zip(got, got[1:])) and max(len(k) for k, _, _ in got) < most + 9
+    assert list(simhash.stretches(iter([]))) == []
+
+
+def test_memory_is_bounded_by_groups_not_by_partitions():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+
+    def batches():
+        for i in range(400):
+            key = np.repeat(np.arange(i * 10, i * 10 + 10), 1000)
+            fp = np.sort(rng.integers(-(1 << 62), 1 << 62, (10, 1000)), axis=1).ravel()
+            yield from batches_of(key, fp, np.arange(len(key)) + i * 10_000, 10_000)
+
+    tracemalloc.start()
+    rows = sum(len(k) for k, _, _ in simhash.stretches(batches()))
+    assert rows == 4_000_000 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.reset_peak()
+    few = (b for i, b in zip(range(60), batches()))
+    assert sum(b.num_rows for b in simhash.forest_of_partition(few)) == 0
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
+def test_first_blocks_make_groups_of_thousands():
+    assert [simhash.first_block(n) for n in (0, 1, 8000, 9296, 256_410, 15_000_000, 10**9, 10**12)] == [0, 0, 0, 1, 5, 11, 16, 16]
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    text, other = " ".join(f"word{i}" for i in range(200)), " ".join(f"none{i}" for i in range(200))
+    rows = [(5, text, "a"), (5, other, "b"), (7, other, "c"), (9, text, "d"), (5, text, "e"), (None, text, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _keep string").selectExpr("*", "_keep h", "_keep id", "_keep root", "_keep u", "_keep fp")
+    got = sorted((str(r.doc_id), r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert [c for _, _, c in got] == [5] * 5 + [None] and len({f for _, f, _ in got}) == 2
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("5", text), ("5", other), ("None", text)])
+    unique = docs.filter("h in ('a', 'c', 'd')")
+    assert sorted((r.doc_id, r.h) for r in simhash.keep_one(unique).collect()) == [(5, "a"), (7, "c")]
