@@ -55,11 +55,53 @@ def test_order_and_increments(spark):
     assert (r.sum, r.less) == (f[1], f[3])
 
 
+def by_hand(spark, text):
+    """The fingerprint of a text, its hashes from SQL and all the rest in Python."""
+    paragraphs = text.split("\n")
+    pairs = [(w, v) for p in paragraphs for words in [p.split(" ")] for w, v in zip(words, [*words[1:], None])]
+    df = spark.createDataFrame([(p,) for p in paragraphs], "p string")
+    wide = [sum(r[0] % (1 << 32) for r in df.select(F.xxhash64("p", F.lit(j))).collect()) % (1 << 32) for j in range(8)]
+    hashes = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(F.xxhash64("a", "b")).collect()]
+    lanes = [(sum(1 if h >> k & 1 else -1 for h in hashes)) % (1 << 24) for k in range(64)]
+    return "".join(f"{x:08x}" for x in wide) + "".join(f"{x:06x}" for x in lanes)
+
+
+def alike(a, b):
+    """Likeness of two written fingerprints."""
+    x, y = ([int(f[64 + 6 * k : 70 + 6 * k], 16) for k in range(64)] for f in (a, b))
+    near = lambda v: (v + (1 << 23)) % (1 << 24) - (1 << 23)
+    apart, both = sum(near(i - j) ** 2 for i, j in zip(x, y)), sum(near(i) ** 2 + near(j) ** 2 for i, j in zip(x, y))
+    return 1.0 if apart == 0 else max(0.0, 1 - apart / both)
+
+
 def test_sums_against_hashing_by_hand(spark):
-    docs = spark.createDataFrame([(1, "a b c\nd")], "doc_id long, text string")
-    h = spark.sql("select xxhash64('a b c', 1), xxhash64('a', 'b'), xxhash64('b', 'c'), xxhash64('c'), xxhash64('d', 1), xxhash64('d')").first()
-    want = "".join(f"{sum(x >> k & 1 for x in h):06x}" for k in range(64)) + f"{len(h):06x}"
-    assert prints.fingerprints(docs).first().fingerprint == want
+    texts = {1: "a b c\nd", 2: "", 3: "\n\n", 4: "one  two\ttwo\none  two\ttwo", 5: TEXT}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in prints.fingerprints(docs).collect()}
+    assert got == {k: by_hand(spark, t) for k, t in texts.items()}
+
+
+def test_edited_prints_and_likeness_against_brute_force(spark):
+    other = "\n".join(" ".join(f"o{i * 17 % 89}z{j}" for j in range(9)) for i in range(12))
+    rows = [(1, TEXT), (2, other), (3, TEXT[:600] + other[300:]), (4, None), (5, "x"), (6, "one two three four five six seven"), (None, TEXT)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in prints.compare_edits(docs).collect()}
+    ids = [d for d, _ in rows]
+    for i, (d, t) in enumerate(rows):
+        r, after = got[d], got[ids[(i + 1) % len(ids)]]
+        assert r.fingerprint == by_hand(spark, t or "") and r.edited_fingerprint == by_hand(spark, edited(rows, i))
+        assert abs(r.near_edited - alike(r.fingerprint, r.edited_fingerprint)) < 1e-12
+        assert abs(r.near_next - alike(r.fingerprint, after.fingerprint)) < 1e-12
+    pair = spark.createDataFrame([(got[1].fingerprint, got[3].fingerprint)], "a string, b string")
+    assert abs(pair.select(prints.print_likeness(F.col("a"), F.col("b"))).first()[0] - alike(got[1].fingerprint, got[3].fingerprint)) < 1e-12
+    # A sketch of 64 entries: the share of word pairs that both texts have, give or take.
+    assert 0.6 < got[1].near_edited < 0.95 and got[1].near_next < 0.35
+
+
+def test_hot_ids_and_a_long_paragraph(spark):
+    rows = [(7, f"text {i % 5} of one id") for i in range(300)] + [(None, "no id") for _ in range(300)] + [(8, "long " * 200_000)]
+    got = check(spark, rows)
+    assert len({r.fingerprint for r in got}) == 7
 
 
 def test_query(spark):
