@@ -1,21 +1,34 @@
 """Quality rules as a short-circuit cascade.
 
-A sample gives each rule's cost (seconds a document) and selectivity (share of documents it rejects);
-rules then run in order of rejections per cost and a document stops at the first rule that rejects it.
-Rules are a conjunction, so their order changes the time and never the verdict.
-
-Defined results: a null text counts as an empty one; a text without words fails ``min_words``; rows that
-repeat are judged one by one; an empty table gives an empty table; columns other than the id and the text
-are not read. Words are runs of characters other than space and U+0009 to U+000D.
+A sample gives the seconds that each measure of a text takes and which rules reject which share of documents
+together. Rules are then ordered greedily: next comes the one with most rejections, among the documents that those
+before it let through, per second of what it has yet to measure (rules share measures such as the words). A document
+stops at the first rule that rejects it. Rules are a conjunction, so their order changes the time and never the
+verdict; since seconds differ from run to run, so may the order and with it ``rejected_by``.
+The sample is drawn by a hash of the rows, about ``SAMPLE_ROWS`` of them from the whole table (as many from any one
+task at most), and is measured in its tasks: only sums come to the driver.
+
+Defined results: a null text counts as an empty one; a text without words fails ``min_words``; ties in the order go to
+the rule that is listed first; rows that repeat are judged one by one (and sampled together or not at all); an empty
+table gives an empty table; columns other than the id and the text are not read and may have any names; a text of over
+``LONG`` bytes is read in stretches and its windows are compared by 64-bit hashes, in some 60 bytes a word. Words are runs of characters other
+than space and U+0009 to U+000D.
 """
 
 from __future__ import annotations
 
+import re
+import string
 import time
+import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +36,11 @@ from lumenweave.llm.shared import slices
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Documents of the sample that sets the order of the rules.
-SAMPLE_ROWS = 256
+#: Documents of the sample that sets the order of the rules, and bytes of a text from which its words are hashed.
+SAMPLE_ROWS, LONG = 256, 4 << 20
+
+ASCII = re.compile(r"[\x00-\x7f]+")
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 class Text:
@@ -38,11 +54,24 @@ class Text:
         self.__dict__[name] = value
         return value
 
+    def _data(self) -> bytes:
+        return self.text.encode("utf-8", "surrogatepass")
+
     def _words(self) -> list[bytes]:
-        return self.text.encode("utf-8", "surrogatepass").split()
+        return self.data.split()
+
+    def _hashes(self) -> np.ndarray:
+        """64-bit hashes of the words, which are held a stretch at a time."""
+        out, at, data = [], 0, self.data
+        while at < len(data):
+            end = SPACE.search(data, min(len(data), at + max(1, LONG)))
+            end = end.start() if end else len(data)
+            out.append(np.array([xxhash.xxh64_intdigest(w) for w in data[at:end].split()], np.uint64))
+            at = end
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
 
     def _n_words(self) -> int:
-        return len(self.words)
+        return len(self.words) if len(self.data) <= LONG else len(self.hashes)
 
     def _word_chars(self) -> int:
         return len(self.text) - sum(map(self.text.count, SPACES))
@@ -57,6 +86,8 @@ class Text:
         return len(self.lines) - len(set(self.lines))
 
     def _n_repeat_words(self) -> int:
+        if len(self.data) > LONG:
+            return repeated_words(self.hashes)
         w = self.words
         windows = list(zip(w, w[1:], w[2:]))
         if len(set(windows)) == len(windows):
@@ -70,8 +101,36 @@ class Text:
         return sum(covered)
 
     def _shouted(self) -> float:
-        upper = sum(map(str.isupper, self.text))
-        return upper / max(1, upper + sum(map(str.islower, self.text)))
+        """The share of capital letters (category Lu) among these and small ones (Ll)."""
+        ascii_, rest = self.data, () if self.text.isascii() else Counter(ASCII.sub("", self.text)).items()
+        upper = len(ascii_) - len(ascii_.translate(None, string.ascii_uppercase.encode()))
+        lower = len(ascii_) - len(ascii_.translate(None, string.ascii_lowercase.encode()))
+        for c, n in rest:
+            kind = unicodedata.category(c)
+            upper, lower = upper + n * (kind == "Lu"), lower + n * (kind == "Ll")
+        return upper / max(1, upper + lower)
+
+
+def repeated_words(h: np.ndarray) -> int:
+    """Words in windows of three that stand twice or more, by the words' hashes."""
+    if len(h) < 4:
+        return 0
+    key = h[:-2] * np.uint64(0x9E3779B97F4A7C15)
+    for part in (h[1:-1], h[2:]):
+        key ^= key >> np.uint64(32)
+        key += part
+        key *= np.uint64(0xD6E8FEB86659FD93)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = key[1:] == key[:-1]
+    again = np.zeros(len(key), bool)
+    again[:-1] |= same
+    again[1:] |= same
+    covered = np.zeros(len(h), bool)
+    at = order[again]
+    for k in range(3):
+        covered[at + k] = True
+    return int(covered.sum())
 
 
 @dataclass(frozen=True)
@@ -79,30 +138,88 @@ class Rule:
     name: str
     rejects: Callable[[Text], bool]
     base: bool = False
+    needs: tuple[str, ...] = ()
 
 
 #: Thresholds are parameters of the rules and hold at every size of the corpus.
 RULES = (
-    Rule("min_words", lambda t: t.n_words < 50, base=True),
-    Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > 50 * t.n_words, base=True),
-    Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
-    Rule("duplicate_lines", lambda t: 2 * t.n_dup_lines > len(t.lines)),
-    Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 20 * t.n_words),
-    Rule("shouting", lambda t: t.shouted > 0.5),
+    Rule("min_words", lambda t: t.n_words < 50, True, ("n_words",)),
+    Rule("repeated_windows", lambda t: 100 * t.n_repeat_words > 50 * t.n_words, True, ("n_repeat_words", "n_words")),
+    Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words, False, ("n_symbols", "n_words")),
+    Rule("duplicate_lines", lambda t: 2 * t.n_dup_lines > len(t.lines), False, ("n_dup_lines",)),
+    Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 20 * t.n_words, False, ("word_chars", "n_words")),
+    Rule("shouting", lambda t: t.shouted > 0.5, False, ("shouted",)),
 )
 
+#: What each measure is made from, in an order in which they can be made.
+SOURCES = {"data": (), "n_words": ("data",), "word_chars": (), "n_symbols": (), "lines": (), "n_dup_lines": ("lines",), "n_repeat_words": ("n_words",), "shouted": ("data",)}
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """Of each rule, seconds a document and share of rejections on ``sample_rows`` documents, which come to the driver."""
-    texts = [r[0] for r in docs.select(text).limit(sample_rows).collect()]
-    out = {}
-    for rule in rules:
-        began = time.perf_counter()
-        hits = sum(bool(rule.rejects(Text(t))) for t in texts)
-        out[rule.name] = ((time.perf_counter() - began) / max(1, len(texts)), hits / max(1, len(texts)))
-    return out
+@dataclass(frozen=True)
+class Sample:
+    """Documents measured, seconds by measure and by rule (once its measures are there), documents by the set of rules that reject them (a bit a rule)."""
+
+    n: int
+    seconds: dict[str, float]
+    rejected: dict[int, int]
+
+
+def measure_texts(texts: list[str | None], rules: tuple[Rule, ...]) -> Sample:
+    seconds, rejected = Counter(), Counter()
+    for x in texts:
+        t, mask = Text(x), 0
+        for name in SOURCES:
+            began = time.perf_counter()
+            getattr(t, name)
+            seconds[name] += time.perf_counter() - began
+        for i, rule in enumerate(rules):
+            began = time.perf_counter()
+            mask |= bool(rule.rejects(t)) << i
+            seconds[f"rule {rule.name}"] += time.perf_counter() - began
+        rejected[mask] += 1
+    return Sample(len(texts), dict(seconds), dict(rejected))
+
+
+def measure_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> Sample:
+    """The sample, drawn by a hash of id and text from the whole table and measured in its tasks, ``sample_rows`` rows in any one at most."""
+    n = docs.count()
+    bar = (1 << 32) if n <= sample_rows else -(-(sample_rows << 32) // n)
+    chosen = docs.filter(F.pmod(F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text))), F.lit(1 << 32)) < bar).select(F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in islice((t for b in batches for part in slices(b) for t in part.column(0).to_pylist()), sample_rows):
+            s = measure_texts([t], rules)
+            (mask,) = s.rejected
+            yield pa.RecordBatch.from_pydict({"mask": pa.array([mask], pa.int64()), **{f"s{i}": [v] for i, v in enumerate(s.seconds.values())}})
+
+    names = [*SOURCES, *(f"rule {r.name}" for r in rules)]
+    measured = chosen.mapInArrow(run, "mask long, " + ", ".join(f"s{i} double" for i in range(len(names))))
+    rows = measured.groupBy("mask").agg(F.count("*").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(names))]).collect()
+    seconds = {name: sum(r[f"s{i}"] for r in rows) for i, name in enumerate(names)}
+    return Sample(sum(r.n for r in rows), seconds, {r["mask"]: r.n for r in rows})
+
+
+def order_by_sample(sample: Sample, rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
+    """Greedily by rejections, among documents not yet rejected, per second of what is not yet measured; ties keep the given order."""
+
+    def made_from(names: tuple[str, ...]) -> set[str]:
+        return {x for n in names for x in ({n} | made_from(SOURCES.get(n, ())))}
+
+    left, made, passed, out = list(range(len(rules))), set(), dict(sample.rejected), []
+    while left:
+
+        def rate(i: int) -> float:
+            hits = sum(n for mask, n in passed.items() if mask >> i & 1)
+            cost = sum(sample.seconds.get(x, 0.0) for x in made_from(rules[i].needs) - made) + sample.seconds.get(f"rule {rules[i].name}", 0.0)
+            return hits / max(cost, 1e-9)
+
+        best = max(left, key=lambda i: (rate(i), -i))
+        left.remove(best)
+        out.append(rules[best])
+        made |= made_from(rules[best].needs)
+        passed = {mask: n for mask, n in passed.items() if not mask >> best & 1}
+    return tuple(out)
 
 
 def order_rules(measured: dict[str, tuple[float, float]], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
@@ -118,7 +235,7 @@ def verdict(t: Text, ordered: tuple[Rule, ...]) -> str | None:
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", measures: bool = True, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row a document: its id, kept, rejected_by and, if asked for, base_failed and the measures."""
-    ordered = order_rules(measure_rules(docs, text, rules), rules)
+    ordered = order_by_sample(measure_rules(docs, doc_id, text, rules), rules)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: dict[str, list] = {"rejected_by": [], "kept": []} | ({m: [] for m in MEASURES} | {"base_failed": []} if measures else {})
@@ -143,9 +260,9 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", measures:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id") -> DataFrame:
     """The rows that every rule passes, with their columns as they are."""
-    ordered = order_rules(measure_rules(docs, text, rules), rules)
+    ordered = order_by_sample(measure_rules(docs, doc_id, text, rules), rules)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
