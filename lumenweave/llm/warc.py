@@ -2,16 +2,19 @@
 
 Each archive is a ZIP file with stored members: ``archive/data-*.warc.gz`` (one gzip member a record) and, last,
 ``indexes/index.cdxj`` (a line a record: member, offset and length of its gzip member). The central directory
-always comes with the ZIP64 records. The reader parses the end records and the directory, reads the index by its
-range and then each record by its range; members are never unpacked as a whole.
+always comes with the ZIP64 records. The reader opens an archive for random access, parses the end records and the
+directory and reads the index by its range; the ranges of records, some ``RANGE_BYTES`` of neighbours at a time, are
+then dealt evenly to tasks, each of which reads just its ranges of the file. Nothing is unpacked or read as a whole.
 
 Spark's text writer lays the archives down, so they go wherever Spark can write and survive lost tasks; a row is a
 stretch of the file and the line feed that the writer adds after it falls between members, where ZIP allows gaps,
-or is the archive's comment of one byte.
+or is the archive's comment of one byte. Archives in a store that only Spark can open come through its binary reader
+instead, an archive (about ``ARCHIVE_BYTES``, 2 GB at most) at a time.
 
 Defined results: a null html is an empty payload; payloads under ``min_revisit`` bytes are all responses; of equal
-larger ones the largest page_id is the response and rows that repeat that id are responses too; an empty table
-gives an empty table; other columns are not read.
+larger ones the largest page_id is the response and rows that repeat that id (ties) are responses too; rows without a
+page_id are responses; very long pages make a member and a range of their own; rows that repeat many times are dealt
+evenly to archives; an empty table gives an empty table; other columns are not read and may have any names.
 """
 
 from __future__ import annotations
@@ -23,13 +26,18 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm.shared import new_path, slices, utf8
+from lumenweave.llm.shared import cut, new_path, slices, utf8
 
-#: Payload bytes of an archive and of a member, before compression.
-ARCHIVE_BYTES, MEMBER_BYTES, MIN_REVISIT = 32 << 20, 4 << 20, 1000
+#: Payload bytes of an archive and of a member, before compression; bytes of records, as they are stored, that are read at once.
+ARCHIVE_BYTES, MEMBER_BYTES, MIN_REVISIT, RANGE_BYTES = 32 << 20, 4 << 20, 1000, 1 << 20
+#: One (page_id, payload) of more rows than these, and than a thousandth of all, is dealt evenly instead of by itself.
+HOT_ROWS = 1000
+#: Schemes of stores that are opened for random access.
+RANGED = ("file", "hdfs", "s3", "gs")
 
 #: The layouts of ZIP's records.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = struct.Struct("<4s5H3I2H"), struct.Struct("<4s6H3I5H2I"), struct.Struct("<4s4H2IH"), struct.Struct("<4sQ2H2I4Q"), struct.Struct("<4sIQI")
@@ -131,11 +139,14 @@ ReadRange = Callable[[int, int], bytes]
 
 def central_directory(read: ReadRange, size: int) -> dict[str, tuple[int, int]]:
     """Of each stored member, the offset of its local header and its size."""
-    tail_at = max(0, size - END.size - 0xFFFF - LOCATOR64.size)
-    tail = read(tail_at, size - tail_at)
-    end_at = tail.rfind(b"PK\5\6")
-    while end_at >= 0 and end_at + END.size + int.from_bytes(tail[end_at + 20 : end_at + 22], "little") != len(tail):
-        end_at = tail.rfind(b"PK\5\6", 0, end_at)
+    # A comment of up to 64 KB may follow the end record; most archives have a short one or none.
+    for reach in (1 << 10, END.size + 0xFFFF + LOCATOR64.size):
+        tail = read(max(0, size - reach), min(size, reach))
+        end_at = tail.rfind(b"PK\5\6")
+        while end_at >= 0 and end_at + END.size + int.from_bytes(tail[end_at + 20 : end_at + 22], "little") != len(tail):
+            end_at = tail.rfind(b"PK\5\6", 0, end_at)
+        if end_at >= LOCATOR64.size:
+            break
     if end_at < 0:
         raise ValueError("no end of central directory")
     _, _, _, _, n, length, at, _ = END.unpack_from(tail, end_at)
@@ -172,21 +183,51 @@ def data_at(read: ReadRange, local: int) -> int:
     return local + LOCAL.size + head[-2] + head[-1]
 
 
-def read_archive(read: ReadRange, size: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each indexed record, each read by its own range."""
+def record_ranges(read: ReadRange, size: int) -> Iterator[tuple[int, int]]:
+    """Offset and length of each indexed record, in the order of the index."""
     members = central_directory(read, size)
     starts = {name: data_at(read, local) for name, (local, _) in members.items()}
     for name, (_, length) in members.items():
         if name.startswith("indexes/"):
             for line in read(starts[name], length).decode().split("\n"):
                 at = json.loads(line)
-                yield parse_record(zlib.decompress(read(starts[at["member"]] + at["offset"], at["length"]), 31))
+                yield starts[at["member"]] + at["offset"], at["length"]
+
+
+def read_archive(read: ReadRange, size: int) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each indexed record, each read by its own range."""
+    for at, length in record_ranges(read, size):
+        yield parse_record(zlib.decompress(read(at, length), 31))
+
+
+def neighbours(ranges: Iterator[tuple[int, int]], most: int = RANGE_BYTES) -> Iterator[list[tuple[int, int]]]:
+    """Ranges in groups that follow each other and hold at most ``most`` bytes (one range at least)."""
+    held: list[tuple[int, int]] = []
+    for at, length in ranges:
+        if held and (sum(held[-1]) != at or at + length - held[0][0] > most):
+            yield held
+            held = []
+        held.append((at, length))
+    if held:
+        yield held
+
+
+def scheme(path: str) -> str:
+    return path.partition(":")[0] if ":" in path.partition("/")[0] else "file"
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file for random access."""
+    if scheme(path) == "file":
+        return stores.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    store, name = stores.FileSystem.from_uri(path)
+    return store.open_input_file(name)
 
 
 # --- the operator -------------------------------------------------------------------------------------------
 
 
-def mark_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = MIN_REVISIT, parts: int = 8) -> DataFrame:
+def mark_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = MIN_REVISIT, parts: int = 8, hot_rows: int = HOT_ROWS) -> DataFrame:
     """page_id, url, html, digest, refers_to (the response's page_id for revisits, else null), in ``parts`` partitions."""
     ids, t = F.col(page_id).cast("long").alias("page_id"), utf8(F.col(html))
     digest = F.sha1(F.encode(t, "UTF-8")).alias("digest")
@@ -196,7 +237,16 @@ def mark_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     revisits = keys.join(last.select("digest", "last"), "digest").filter(F.col("page_id") < F.col("last")).select("page_id", "digest", F.col("last").alias("refers_to")).distinct()
     rows = pages.select(ids, F.col(url).alias("url"), t.alias("html"), digest)
     deal = lambda df: df.repartition(parts, "page_id", "digest")
-    return deal(rows).join(deal(revisits), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    out = ["page_id", "url", "html", "digest", "refers_to"]
+    if not pages.groupBy(page_id).count().filter(F.col("count") > hot_rows).limit(1).count():
+        return deal(rows).join(deal(revisits), ["page_id", "digest"], "left").select(out)
+    # Rows that repeat an id and a payload very often, under 1,000 of such pairs: their rows are dealt one by one.
+    most = max(hot_rows, pages.count() // 1000)
+    hot = cut(keys.groupBy("page_id", "digest").count().filter(F.col("count") > most).join(revisits, ["page_id", "digest"], "left").select(F.col("page_id").alias("h_id"), F.col("digest").alias("h_digest"), "refers_to"))
+    same = F.col("page_id").eqNullSafe(F.col("h_id")) & (F.col("digest") == F.col("h_digest"))
+    often = rows.join(F.broadcast(hot), same).select(out).repartition(parts)
+    seldom = rows.join(F.broadcast(hot.drop("refers_to")), same, "left_anti")
+    return deal(seldom).join(deal(revisits), ["page_id", "digest"], "left").select(out).union(often)
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **names) -> None:
@@ -208,31 +258,67 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     rows.select(F.col("row").cast("string").alias("value")).write.text(path)
 
 
+RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, block binary"
+
+
+def rows_of(records: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+    """Batches of the records, some MB each; a response's block is held against its digest."""
+    out, held = [], 0
+    for head, block in records:
+        digest = head["warc-payload-digest"].partition(":")[2]
+        if head["warc-type"] == "response" and hashlib.sha1(block).hexdigest() != digest:
+            raise ValueError("a payload does not match its digest")
+        out.append((named_page(head.get("warc-record-id")), head["warc-target-uri"], head["warc-type"], int(head["warc-payload-length"]), digest, named_page(head.get("warc-refers-to")), block))
+        held += len(block)
+        if held >= MEMBER_BYTES:
+            yield batch_of(out)
+            out, held = [], 0
+    if out:
+        yield batch_of(out)
+
+
+def list_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, length) of archives to the ranges of their records: path, offset of the first, lengths of all that follow it."""
+    for batch in batches:
+        for path, size in zip(*(c.to_pylist() for c in batch.columns)):
+            if not size:
+                continue
+            with opened(path) as f:
+                groups = list(neighbours(record_ranges(lambda at, n: f.read_at(n, at), size), RANGE_BYTES))
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(groups), pa.string()), pa.array([g[0][0] for g in groups], pa.int64()), pa.array([[n for _, n in g] for g in groups], pa.list_(pa.int64()))], names=["path", "at", "lengths"])
+
+
+def read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of the ranges that ``list_ranges`` found."""
+
+    def records(path: str, at: int, lengths: list[int]) -> Iterator[tuple[dict[str, str], bytes]]:
+        with opened(path) as f:
+            data = memoryview(f.read_at(sum(lengths), at))
+        for n in lengths:
+            yield parse_record(zlib.decompress(data[:n], 31))
+            data = data[n:]
+
+    for batch in batches:
+        yield from rows_of(r for row in zip(*(c.to_pylist() for c in batch.columns)) for r in records(*row))
+
+
+def read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of archives whose content Spark brought."""
+    for batch in batches:
+        for content in batch.column(0):
+            view = memoryview(content.as_buffer())
+            if len(view):
+                yield from rows_of(read_archive(lambda at, n, v=view: bytes(v[at : at + n]), len(view)))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row a record of the archives below ``path``: page_id, url, record_type, payload_bytes, payload_digest, refers_to, block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                view = memoryview(content.as_buffer())
-                if not len(view):
-                    continue
-                out, held = [], 0
-                for head, block in read_archive(lambda at, n: bytes(view[at : at + n]), len(view)):
-                    own = lambda k: named_page(head.get(k))  # noqa: B023, E731
-                    digest = head["warc-payload-digest"].partition(":")[2]
-                    if head["warc-type"] == "response" and hashlib.sha1(block).hexdigest() != digest:
-                        raise ValueError("a payload does not match its digest")
-                    out.append((own("warc-record-id"), head["warc-target-uri"], head["warc-type"], int(head["warc-payload-length"]), digest, own("warc-refers-to"), block))
-                    held += len(block)
-                    if held >= MEMBER_BYTES:
-                        yield batch_of(out)
-                        out, held = [], 0
-                if out:
-                    yield batch_of(out)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, block binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    if scheme(path) not in RANGED:
+        return files.select("content").mapInArrow(read_whole, RECORD)
+    # Names and sizes only: the content is not read for them.
+    ranges = cut(files.select("path", "length").mapInArrow(list_ranges, "path string, at long, lengths array<long>"))
+    return ranges.repartition(max(1, ranges.count()), "path", "at").mapInArrow(read_ranges, RECORD)
 
 
 def named_page(urn: str | None) -> int | None:

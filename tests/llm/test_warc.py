@@ -89,3 +89,63 @@ def test_broken_archives_are_refused(monkeypatch):
         list(warc.read_archive(lambda at, n: b"", 0))
     with pytest.raises(ValueError):
         warc.parse_record(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")
+
+
+def test_ranges_are_read_from_the_file_and_no_more(tmp_path, monkeypatch):
+    rows = [(i, "u", f"{i} {j}" + "x" * 300) for i in range(40) for j in range(2)]
+    data = archive(rows, 4000, monkeypatch)
+    (tmp_path / "a b%20.zip").write_bytes(data)
+    asked = []
+
+    class File:
+        def __init__(self, path):
+            self.f = open(path, "rb")  # noqa: SIM115
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def read_at(self, n, at):
+            asked.append((at, n))
+            self.f.seek(at)
+            return self.f.read(n)
+
+    monkeypatch.setattr(warc, "opened", File)
+    listed = pa.table({"path": [str(tmp_path / "a b%20.zip")], "length": [len(data)]})
+    monkeypatch.setattr(warc, "RANGE_BYTES", 500)
+    ranges = list(warc.list_ranges(iter(listed.to_batches())))
+    assert sum(n for _, n in asked) < len(data)
+    asked.clear()
+    one = ranges[0].slice(3, 1)
+    (got,) = list(warc.read_ranges(iter([one])))
+    assert asked == [(one.column(1)[0].as_py(), sum(one.column(2)[0].as_py()))] and got.num_rows == len(one.column(2)[0])
+    every = [r for b in warc.read_ranges(iter(ranges)) for r in b.to_pylist()]
+    assert [(r["page_id"], r["block"].decode()) for r in every] == [(i, h) for i, _, h in rows]
+
+
+def test_neighbours():
+    assert list(warc.neighbours(iter([(0, 4), (4, 4), (8, 1), (20, 5), (25, 90), (115, 1)]), 9)) == [[(0, 4), (4, 4), (8, 1)], [(20, 5)], [(25, 90)], [(115, 1)]]
+    assert list(warc.neighbours(iter([]))) == []
+    assert [warc.scheme(p) for p in ("/a/b:c", "file:/x", "viewfs://c/x", "s3://b/x")] == ["file", "file", "viewfs", "s3"]
+
+
+def test_files_with_odd_names_open(tmp_path):
+    (tmp_path / "x y%20z").write_bytes(b"0123456789")
+    for path in (f"{tmp_path}/x y%20z", f"file:{tmp_path}/x y%20z", f"file://{tmp_path}/x y%20z"):
+        with warc.opened(path) as f:
+            assert f.read_at(3, 4) == b"456"
+
+
+def test_rows_that_repeat_often_and_stores_that_only_spark_opens(spark, monkeypatch):
+    rows = ROWS + [(20, "hot", "h" * 1500)] * 60 + [(21, "hot", "h" * 1500)] * 50 + [(None, "null", "n" * 1200)] * 40
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, h_id string")
+    monkeypatch.setattr(warc, "HOT_ROWS", 10)
+    marked = warc.mark_revisits(pages, parts=6, hot_rows=10)
+    most = max(r["count"] for r in marked.groupBy(warc.F.spark_partition_id().alias("p")).count().collect())
+    assert most < 80
+    want = sorted((str(i), len(p), t, str(f)) for i, p, t, f in expect(rows))
+    assert sorted((str(r.page_id), len(r.html.encode()), "revisit" if r.refers_to is not None else "response", str(r.refers_to)) for r in marked.collect()) == want
+    monkeypatch.setattr(warc, "RANGED", ())
+    assert sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in warc.round_trip(pages).collect()) == want
