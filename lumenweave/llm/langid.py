@@ -5,13 +5,15 @@ predicts it (ridge regression, fitted together). A text gets the language of the
 weighted by how well their classifiers do on the training sample and by the exponential loss of their outputs.
 The score is how far the second codeword's loss lies above the best one's (0 at a tie, towards 1 as it grows), so
 that it means the same for any number of languages; a text with a low score is ambiguous.
-The training sample is bounded: about ``SAMPLE_PER_LANGUAGE`` documents a language, chosen by a hash of their id;
-its features (at most that many vectors a language, of ``DIMENSIONS`` numbers) come to the driver.
-
-Defined results: a null text or one without a letter is ``und`` with score 0; a null doc_id counts as an empty one
-in the split; without labelled documents every text is ``und``; with one language every text with letters is of it;
-ties go to the language that sorts first; rows that repeat get one result each; an empty table gives an empty
-table; columns other than the id, the text and, in training, the language are not read.
+The training sample is bounded: about ``SAMPLE_PER_LANGUAGE`` distinct documents a language, fewer if the languages
+are so many that all would be more than ``MOST_SAMPLED``, chosen by a hash of id and text; the features of these
+(twice MOST_SAMPLED vectors of ``DIMENSIONS`` half-precision numbers at most, 50 MB) come to the driver.
+
+Defined results: a null text or one without a letter is ``und`` with score 0 and ambiguous; a null doc_id counts as
+an empty one in the split; without labelled documents every text is ``und``; with one language every text with
+letters is of it; ties go to the language that sorts first; rows that repeat get one result each and are learned from
+once; very long texts are read whole, ``TEXT_BYTES`` at a time; an empty table gives an empty table; columns other
+than the id, the text and, in training, the language are not read and may have any names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from lumenweave.llm.shared import slices
 
 #: Hashed n-grams of these lengths in bytes, their number, the bound of the sample, the ridge, bytes held at a time.
 GRAMS, DIMENSIONS, SAMPLE_PER_LANGUAGE, RIDGE, TEXT_BYTES = (1, 2, 3), 2048, 600, 1e-3, 1 << 20
+#: Documents of all languages that the sample aims for at most.
+MOST_SAMPLED = 6000
 #: A prediction whose score is below this is flagged as ambiguous.
 AMBIGUOUS = 0.4
 #: How sharply the margin between two losses turns into a score.
@@ -119,21 +123,31 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     counts = dict(learned.groupBy(lang).count().collect())
     if not counts:
         return None
+    each = max(1, min(sample, MOST_SAMPLED // len(counts)))
     bar = F.lit(0)
     for name, n in counts.items():
-        bar = F.when(F.col(lang) == name, min(1 << 30, (sample << 30) // n)).otherwise(bar)
-    chosen = learned.filter(F.pmod(F.xxhash64(F.col(doc_id), F.lit(0)), F.lit(1 << 30)) < bar)
+        bar = F.when(F.col(lang) == name, min(1 << 30, -(-(each << 30) // n))).otherwise(bar)
+    place = F.pmod(F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text))), F.lit(1 << 30))
+    labelled = learned.select(F.col(lang).alias("lang"), place.alias("h"), F.col(text).alias("text"), bar.alias("bar"))
+    rows = sampled(labelled.filter("h < bar"), 2 * each * len(counts))
+    if missing := counts.keys() - {r.lang for r in rows}:
+        # Copies of few documents can all miss the sample; then the first by the hash are taken.
+        rows += sampled(labelled.filter(F.col("lang").isin(sorted(missing))), each * len(missing))
+    rows.sort(key=lambda r: (r.lang, bytes(r.x)))
+    return fit([r.lang for r in rows], np.stack([np.frombuffer(r.x, np.float16).astype(np.float32) for r in rows]))
+
+
+def sampled(labelled: DataFrame, most: int) -> list:
+    """(lang, h, x) of the distinct documents among (lang, h, text), the ``most`` first by h; x are the features in half precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([features(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["lang", "x"])
+                x = pa.array([features(t).astype(np.float16).tobytes() for t in part.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), x], names=["lang", "h", "x"])
 
-    rows = chosen.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, x binary").limit(2 * sample * len(counts)).collect()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r.lang, bytes(r.x)))
-    return fit([r.lang for r in rows], np.stack([np.frombuffer(r.x, np.float32) for r in rows]))
+    distinct = labelled.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return distinct.mapInArrow(run, "lang string, h long, x binary").orderBy("h", "lang").limit(most).collect()
 
 
 def identify(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:

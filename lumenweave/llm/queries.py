@@ -37,7 +37,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return langid.predict(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,3 +110,35 @@ def test_query(spark):
     assert {r.doc_id for r in got} == set(docs) and len(got) == len(docs)
     held = [r.lang_pred == docs[r.doc_id].lang for r in got if r.held_out and docs[r.doc_id].lang]
     assert np.mean(held) > 0.9
+
+
+def test_decoding_against_all_codewords_by_hand(spark):
+    import math
+
+    data = rows(80)
+    df = frame(spark, data)
+    model = langid.train(df)
+    mixed = [(i, text("aa", 6 + i) + " " + text("cc", 14 - i), None) for i in range(12)]
+    got = {r.doc_id: r for r in langid.predict(frame(spark, mixed), model).collect()}
+    for i, t, _ in mixed:
+        x = langid.features(t).astype(float)
+        bits = [max(-3.0, min(3.0, sum(x[d] * model.weights[d, b] for d in range(langid.DIMENSIONS)) + model.bias[b])) for b in range(model.code.shape[1])]
+        losses = [sum(model.trust[b] * math.exp(-bits[b] * model.code[k, b]) for b in range(len(bits))) for k in range(len(model.languages))]
+        first, second = sorted(losses)[:2]
+        score = 1 - math.exp(-langid.SHARPNESS * (second - first))
+        assert got[i].lang_pred == model.languages[losses.index(first)] and abs(got[i].score - score) < 1e-4
+        assert got[i].ambiguous == (got[i].score < langid.AMBIGUOUS)
+    assert any(r.ambiguous for r in got.values())
+
+
+def test_sample_is_bounded_and_repeated_rows_count_once(spark, monkeypatch):
+    same = [(7, text("aa"), "aa")] * 2000 + [(9, text("bb", 20 + i % 50), "bb") for i in range(300)]
+    model = langid.train(frame(spark, same))
+    assert model.languages == ["aa", "bb"]
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda labels, x, fit=langid.fit: seen.append(labels) or fit(labels, x))
+    langid.train(frame(spark, same))
+    assert seen[0].count("aa") == 1 and seen[0].count("bb") == 300
+    monkeypatch.setattr(langid, "MOST_SAMPLED", 40)
+    langid.train(frame(spark, rows(400)))
+    assert len(seen[1]) <= 80 and set(seen[1]) == set(SYLLABLES)
