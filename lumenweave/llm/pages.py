@@ -7,13 +7,18 @@ Runs of RUN words or more that stand on distinct pages are covered; a block (a p
 are unique to their page and kept.
 
 Repetition alone can't give the article of every page: articles are copied between pages, and a menu may stand on
-one page only. So an exact check by structure follows: blocks within ``article`` or ``main`` are kept though they
-repeat, and blocks within menus, headers, footers, asides, forms, adverts, notices, comments and the like go though
-they don't. Pages without ``article`` or ``main`` rest on repetition for all that such structure doesn't name.
+one page only. So an exact check by structure follows the array's verdict. It overturns it where a repeated block
+stands within ``article`` or ``main`` (restored), and it is asked about unique blocks, which go if they stand within
+menus, headers, footers, asides, forms, adverts, notices, comments and the like, or outside the page's ``article`` or
+``main``. A repeated block elsewhere goes by the array alone. Each page's row says how many of its blocks went by the
+array, how many by structure and how many were restored. Pages without ``article`` or ``main`` rest on repetition
+for all that such structure doesn't name.
 
 Defined results: a null html gives an empty text; broken markup is read as far as it goes; pages that repeat are
-extracted one by one; a null url or one without a host shares the host ""; an empty table gives an empty table;
-other columns are not read.
+extracted one by one (and make each other's blocks repeated); of ties there are none, a run on two pages is repeated
+on both; very long pages make a chunk of their own and are read whole; a null url or one without a host shares the
+host ""; an empty table gives an empty table; other columns are not read and may have any names. Whether a block
+counts as gone by the array or by structure is told within a chunk where no page of the host depends on it.
 """
 
 from __future__ import annotations
@@ -222,7 +227,33 @@ def chunk_windows(htmls: list[str | None], host: str) -> tuple[np.ndarray, np.nd
     return found, np.minimum(n, 2), np.isin(found, np.concatenate(needed))
 
 
-def extract(htmls: list[str | None], host: str = "", shared: np.ndarray | None = None) -> list[str]:
+@dataclass
+class Main:
+    """A page's main text, and its blocks that went by the array, went by structure and were restored."""
+
+    text: str
+    by_array: int = 0
+    by_structure: int = 0
+    restored: int = 0
+
+
+def judged(page: Page, repeated: list[bool]) -> Main:
+    """The array's verdict on each block, then the check by structure."""
+    out, kept = Main(""), []
+    for block, again in zip(page.blocks, repeated):
+        article = block.main and not block.dropped
+        if again and not article:
+            out.by_array += 1
+        elif not article and (block.dropped or page.has_main):
+            out.by_structure += 1
+        else:
+            out.restored += again
+            kept.append(block.text)
+    out.text = "\n\n".join(kept)
+    return out
+
+
+def judge(htmls: list[str | None], host: str = "", shared: np.ndarray | None = None) -> list[Main]:
     """Main texts of pages of one host; ``shared`` has the keys of runs that stand on several pages of it, these or others."""
     parsed = [parse(h or "") for h in htmls]
     streams, sizes, number = streams_of(parsed)
@@ -234,18 +265,17 @@ def extract(htmls: list[str | None], host: str = "", shared: np.ndarray | None =
             np.add.at(hit, begin, 1)
             np.add.at(hit, begin + RUN, -1)
             cover |= np.cumsum(hit)[:-1] > 0
-    texts = []
+    out = []
     for page, size, covered in zip(parsed, sizes, covers):
-        kept, at = [], 0
-        for block, n in zip(page.blocks, size):
-            repeated = covered[at : at + n].sum() >= COVERED * n
-            at += n
-            if block.dropped or (page.has_main and not block.main):
-                continue
-            if block.main or not repeated:
-                kept.append(block.text)
-        texts.append("\n\n".join(kept))
-    return texts
+        ends = np.cumsum([0, *size])
+        words = np.concatenate([[0], np.cumsum(covered)])[ends]
+        out.append(judged(page, [bool(c >= COVERED * n) for c, n in zip(np.diff(words), size)]))
+    return out
+
+
+def extract(htmls: list[str | None], host: str = "", shared: np.ndarray | None = None) -> list[str]:
+    """The texts alone."""
+    return [m.text for m in judge(htmls, host, shared)]
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.ndarray | None]]:
@@ -301,7 +331,7 @@ def shared_runs(dealt: DataFrame, rows: DataFrame, wide: DataFrame) -> DataFrame
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row a page: page_id, url, text, n_chars."""
+    """One row a page: page_id, url, text, n_chars, and its blocks that went by_array, by_structure and were restored."""
     host, _ = split_url(F.col(url))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars"))
@@ -321,7 +351,9 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, shared in chunks(batches):
-            texts = extract([r[2] for r in held], held[0][3], shared)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            found = judge([r[2] for r in held], held[0][3], shared)
+            counts = [pa.array([getattr(m, c) for m in found], pa.int64()) for c in ("by_array", "by_structure", "restored")]
+            ids, urls = pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.string())
+            yield pa.RecordBatch.from_arrays([ids, urls, pa.array([m.text for m in found], pa.string()), pa.array([len(m.text) for m in found], pa.int64()), *counts], names=["page_id", "url", "text", "n_chars", "by_array", "by_structure", "restored"])
 
-    return dealt(rows, shared_runs(dealt, rows, wide)).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return dealt(rows, shared_runs(dealt, rows, wide)).mapInArrow(run, "page_id long, url string, text string, n_chars long, by_array long, by_structure long, restored long")

@@ -41,7 +41,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extract_pages(table(spark, sf_dir, "pages"))
+    return pages.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

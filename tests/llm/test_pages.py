@@ -121,3 +121,13 @@ def test_query(spark):
         text = "\n\n".join(b for b in blocks if b)
         want.append((r.page_id, r.url, text, len(text)))
     assert sorted(map(tuple, op5_html_extraction(spark, d).collect())) == sorted(want)
+
+
+def test_the_array_decides_first_and_structure_what_it_leaves():
+    menu, own = " ".join(f"menu{i}" for i in range(10)), [" ".join(f"w{k}x{i}" for i in range(20)) for k in range(3)]
+    named = [f"<nav>{menu}</nav><article><p>{x}</p><p>{menu}</p></article><footer>only {k}</footer>" for k, x in enumerate(own)]
+    assert pages.judge(named) == [pages.Main(f"{x}\n\n{menu}", 1, 1, 1) for x in own]
+    bare = [f"<div>{menu}</div><p>{x}</p><footer>only {k}</footer>" for k, x in enumerate(own)]
+    assert pages.judge(bare) == [pages.Main(x, 1, 1, 0) for x in own]
+    # One page of a host: the array has nothing to compare, structure alone decides.
+    assert pages.judge(bare[:1]) == [pages.Main(f"{menu}\n\n{own[0]}", 0, 1, 0)]
