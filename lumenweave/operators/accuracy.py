@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions.durable import numbered
 from lumenweave.functions.missing import finite
+from lumenweave.functions.quantiles import with_quantiles
 from lumenweave.operators.grid import Grid, sample_points
 
 #: Damage categories of structures in order.
@@ -104,7 +105,8 @@ def check_structures(points: DataFrame, raster: DataFrame, grid: Grid, value: st
     flagged = inside.withColumns({"_p": F.col(value) >= threshold, "_a": F.col(ordinal) >= damaged_from})
     counts = sampled.agg(F.count(value).alias("n_inside"), (F.count("*") - F.count(value)).alias("n_outside"))
     scores = detection(flagged, "_p", "_a").join(F.broadcast(counts))
-    stats = inside.groupBy(ordinal).agg(F.count("*").alias("n"), F.avg(value).alias("v_mean"), F.median(value).alias("v_median"), F.stddev_pop(value).alias("v_std"))
+    means = inside.groupBy(ordinal).agg(F.count("*").alias("n"), F.avg(value).alias("v_mean"), F.stddev_pop(value).alias("v_std"))
+    stats = with_quantiles(means, inside, [value], [0.5], [ordinal]).select(ordinal, "n", "v_mean", F.col(f"q_{value}")[0].alias("v_median"), "v_std")
     return scores, stats, spearman(inside, value, ordinal)
 
 

@@ -7,11 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenweave.functions.quantiles import with_quantiles
+
 
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Count, least, largest, mean and exact median of the values that aren't missing."""
     v = F.col(value)
-    return df.groupBy(*by).agg(F.count(v).alias("n_valid"), F.min(v).alias("v_min"), F.max(v).alias("v_max"), F.avg(v).alias("v_mean"), F.median(v).alias("v_median"))
+    out = df.groupBy(*by).agg(F.count(v).alias("n_valid"), F.min(v).alias("v_min"), F.max(v).alias("v_max"), F.avg(v).alias("v_mean"))
+    return with_quantiles(out, df, [value], [0.5], by).withColumn("v_median", F.col(f"q_{value}")[0]).drop(f"q_{value}")
 
 
 def mean_spectra(df: DataFrame, by: str, spectrum: str = "spectrum", least: int = 1, least_groups: int = 1) -> DataFrame:
@@ -74,7 +77,8 @@ def recovery_slope(df: DataFrame, by: Sequence[str], day: str, value: str, basel
 
 def site_medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median and count of a value by site."""
-    return df.groupBy(*keys).agg(F.median(value).alias("v_median"), F.count(value).alias("n"))
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"))
+    return with_quantiles(out, df, [value], [0.5], keys).select(*keys, F.col(f"q_{value}")[0].alias("v_median"), "n")
 
 
 def pivot_mean(df: DataFrame, row: str, column: str, value: str, names: Sequence[str]) -> DataFrame:
@@ -91,5 +95,5 @@ def bounds_intersection(df: DataFrame) -> DataFrame:
 
 def quicklook_range(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """The exact percentiles between which a quicklook is stretched."""
-    q = F.percentile(value, F.array(F.lit(low), F.lit(high)))
-    return df.agg(q.alias("q")).select(F.col("q")[0].alias("v_low"), F.col("q")[1].alias("v_high"))
+    q = with_quantiles(df.agg(F.count(value).alias("n")), df, [value], [low, high])
+    return q.select(F.col(f"q_{value}")[0].alias("v_low"), F.col(f"q_{value}")[1].alias("v_high"))

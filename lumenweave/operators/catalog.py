@@ -55,5 +55,5 @@ def size_mb(assets: Column) -> Column:
 
 def with_phases(items: DataFrame, scenes: DataFrame) -> DataFrame:
     """Items of a catalog with what is known of their scenes, without those of phase other, in order of time."""
-    known = F.broadcast(scenes.select("scene_id", "phase", "fire_complex", "days_relative_to_ignition"))  # a fixed table of few rows
+    known = scenes.select("scene_id", "phase", "fire_complex", "days_relative_to_ignition")
     return items.join(known, "scene_id", "left").filter(F.coalesce("phase", F.lit("")) != "other").orderBy("datetime")

@@ -123,10 +123,19 @@ def align(scenes: Mapping[str, tuple[DataFrame, Grid]], columns: Sequence[str],
     return {k: df.select("row", "col", *columns) if g == target else reproject(df, g, target, columns, method) for k, (df, g) in scenes.items()}, target
 
 
-def dnbr(pre: DataFrame, post: DataFrame, bands: Bands, spectrum: str = "spectrum") -> DataFrame:
-    """(row, col, nbr_pre, nbr_post, dnbr) of two rasters on one grid; only the index, not the spectrum, is shuffled."""
+def dnbr(pre: DataFrame, post: DataFrame, bands: Bands, spectrum: str = "spectrum", grids: tuple[Grid, Grid] | None = None, auto_align: bool = True, method: str = "nearest", **target) -> DataFrame:
+    """(row, col, nbr_pre, nbr_post, dnbr) of two rasters; only the index, not the spectrum, is shuffled.
+
+    Where their ``grids`` differ both go to their common grid (``target`` has its bounds, resolution, min_overlap), or it
+    is an error if ``auto_align`` is off. Without ``grids`` the rasters must be on one grid already.
+    """
     a = pre.select("row", "col", nbr(F.col(spectrum), bands).alias("nbr_pre"))
     b = post.select("row", "col", nbr(F.col(spectrum), bands).alias("nbr_post"))
+    if grids is not None and grids[0] != grids[1]:
+        if not auto_align:
+            raise ValueError("the scenes are on different grids")
+        to = common_grid(grids, **target)
+        a, b = (df if g == to else reproject(df, g, to, [c], method) for df, g, c in ((a, grids[0], "nbr_pre"), (b, grids[1], "nbr_post")))
     return a.join(b, ["row", "col"]).withColumn("dnbr", F.col("nbr_pre") - F.col("nbr_post"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumenweave.functions.arrays import total
 from lumenweave.functions.bands import ALIASES, Bands, at, take
 from lumenweave.functions.missing import clip, normalized_difference, ratio
+from lumenweave.functions.quantiles import with_quantiles
 
 #: Centre (target, left, right) of the absorption indices, far bands of the water indices, targets of depths (nm).
 SAI = {"SAI970": (970, 850, 1100), "SAI1200": (1200, 1080, 1320)}
@@ -95,7 +96,7 @@ def true_colour(df: DataFrame, spectrum: str, bands: Bands, low: float = 0.02, h
     """``red, green, blue`` of each pixel, stretched between percentiles of the table."""
     names = {"red": 660, "green": 560, "blue": 470}
     held = df.withColumns({n: at(F.col(spectrum), bands.nearest(w)) for n, w in names.items()})
-    q = held.agg(*[F.percentile(n, F.array(F.lit(low), F.lit(high))).alias(f"q_{n}") for n in names])
+    q = with_quantiles(held.agg(F.count("*").alias("_n")), held, list(names), [low, high]).drop("_n")
     return held.join(F.broadcast(q)).withColumns({n: stretch(F.col(n), F.col(f"q_{n}")[0], F.col(f"q_{n}")[1]) for n in names}).drop(*[f"q_{n}" for n in names])
 
 

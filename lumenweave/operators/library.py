@@ -41,8 +41,12 @@ def category_of(name: Column, words: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
-def merge(*libraries: DataFrame) -> DataFrame:
-    """All spectra, held to [0, 1], with ids made unique by _dup1, _dup2 ... in the order of the libraries."""
+def merge(*libraries: DataFrame, bands: Sequence[Bands] = ()) -> DataFrame:
+    """All spectra, held to [0, 1], with ids made unique by _dup1, _dup2 ... in the order of the libraries.
+
+    With their ``bands`` libraries whose wavelengths differ are refused.
+    """
+    same_bands(*bands)
     tagged = [lib.withColumn("_lib", F.lit(i)) for i, lib in enumerate(libraries)]
     if not tagged:
         raise ValueError("no library given")

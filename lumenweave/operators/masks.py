@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions.bands import Bands
 from lumenweave.functions.missing import finite
+from lumenweave.functions.quantiles import quantiles
 from lumenweave.operators.indices import ndwi
 
 
@@ -73,10 +74,9 @@ def heuristic_classes(nbr: Column, ndvi: Column, ndwi_: Column) -> Column:
 
 def percentile_classes(df: DataFrame, nbr: str = "nbr", ndvi: str = "ndvi", least: int = 25) -> DataFrame:
     """Flags ``is_char, is_pv, is_npv, is_soil`` by percentiles of the whole table; classes of under ``least`` pixels are empty."""
-    q = df.agg(
-        F.percentile(nbr, F.array(F.lit(0.15), F.lit(0.30))).alias("qn"),
-        F.percentile(ndvi, F.array(*[F.lit(p) for p in (0.30, 0.35, 0.40, 0.60, 0.80)])).alias("qv"),
-    )
+    shares = (0.15, 0.30, 0.35, 0.40, 0.60, 0.80)
+    some = quantiles(df, [nbr, ndvi], shares)
+    q = some.select(F.array(*[F.col(f"q_{nbr}")[i] for i in (0, 1)]).alias("qn"), F.array(*[F.col(f"q_{ndvi}")[i] for i in range(1, 6)]).alias("qv"))
     n, v = F.col(nbr), F.col(ndvi)
     flagged = df.join(F.broadcast(q)).withColumns(
         {
@@ -98,6 +98,6 @@ def crop(df: DataFrame, size: int, centre: DataFrame | None = None) -> DataFrame
     if centre is None:
         mid = df.agg(F.expr("(min(row) + max(row) + 1) div 2").alias("r0"), F.expr("(min(col) + max(col) + 1) div 2").alias("c0"))
     else:
-        mid = centre.agg(F.floor(F.median("row")).alias("r0"), F.floor(F.median("col")).alias("c0"))
+        mid = quantiles(centre, ["row", "col"], [0.5]).select(F.floor(F.col("q_row")[0]).alias("r0"), F.floor(F.col("q_col")[0]).alias("c0"))
     inside = (F.col("row") >= F.col("r0") - half) & (F.col("row") < F.col("r0") - half + size) & (F.col("col") >= F.col("c0") - half) & (F.col("col") < F.col("c0") - half + size)
     return df.join(F.broadcast(mid), inside, "inner").drop("r0", "c0")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions.durable import numbered
 from lumenweave.functions.missing import clip
+from lumenweave.functions.quantiles import with_quantiles
 from lumenweave.operators.accuracy import classified, continuous
 from lumenweave.operators.grid import Grid, align
 from lumenweave.operators.unmix import unmix
@@ -44,7 +45,9 @@ def calibrate(df: DataFrame, nbr: str = "nbr", code: str = "code", least: int =
     Fewer than two classes, or medians that don't fall with the code, are an error when the result is used. A class has
     one row after the aggregation, so the window is over a handful.
     """
-    medians = df.filter(F.col(nbr).isNotNull() & ~F.isnan(nbr) & (F.col(code) >= 0)).groupBy(code).agg(F.median(nbr).alias("v_median"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    held = df.filter(F.col(nbr).isNotNull() & ~F.isnan(nbr) & (F.col(code) >= 0))
+    counts = held.groupBy(code).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    medians = with_quantiles(counts, held, [nbr], [0.5], [code]).select(code, "n", F.col(f"q_{nbr}")[0].alias("v_median"))
     order, whole = Window.orderBy(code), Window.partitionBy(F.lit(0))
     after = F.lead("v_median").over(order)
     checked = (

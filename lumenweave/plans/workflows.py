@@ -42,7 +42,8 @@ def _unmix_on(pixels: DataFrame, bands: Bands, lib: DataFrame, lib_bands: Bands,
     chosen = library.pick_bands(lib, len(lib_bands), n_bands) if n_bands else list(range(len(lib_bands)))
     some = lib.withColumn("spectrum", F.transform(F.array(*[F.lit(i) for i in chosen]), lambda i: F.get("spectrum", i)))
     at = unmix.nearest_library_bands(bands, lib_bands.take(chosen))
-    return indices.normalize_fractions(unmix.unmix(pixels, some, engine, constraints, positions=at))
+    others = sorted({r.category for r in some.select("category").distinct().collect()} - set(indices.CANONICAL))
+    return indices.normalize_fractions(unmix.unmix(pixels, some, engine, constraints, positions=at), extras=others)
 
 
 def severity_with_truth(products: DataFrame, truth: DataFrame, thresholds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
