@@ -1,14 +1,17 @@
 """Sharding by a minimax contiguous partition, in DataFrame functions only.
 
-Documents with equal texts form a group that no cut may split. Groups are ordered by the 64-bit hash of their
-text and gathered, by its leading ``BUCKET_BITS`` bits, into atomic runs; only the sizes of the runs (at most
-2**BUCKET_BITS numbers, at every size of the corpus) reach the driver. There the smallest feasible capacity
-of a shard is found by bisection, each capacity checked greedily, and the runs are cut at it.
+Documents with equal texts form a group that no cut may split, and groups are ordered by the 64-bit hash of their
+text. Their sizes are gathered into runs by the hash's leading ``BUCKET_BITS`` bits; only sizes of runs (at most
+``MOST_RUNS`` at a time, at every size of the corpus) reach the driver. There the smallest feasible capacity of a shard
+is found by bisection, each capacity checked greedily. Runs that a cut of any such capacity may fall into are then
+opened, their groups gathered by more bits, and the search repeated, until every such run is one group: the capacity
+is that of the groups themselves.
 Where a single run sets the capacity it gets a shard of its own, and the runs on its two sides are cut anew.
 
 Defined results: a null text counts as an empty one (size 1) and shares its group; rows that repeat share a
-shard and take slots of their own; ties in a slot's order are rows equal in all that is returned; an empty
-table gives an empty table; columns other than the id and the text are not read.
+shard and take slots of their own; ties in a slot's order are rows equal in all that is returned; very long texts are
+only measured and hashed; an empty table gives an empty table; columns other than the id and the text are not read and
+may have any names.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 
 from lumenweave.llm.shared import numbered, numbers, utf8
 
-#: Leading bits of the text's hash that name an atomic run of groups.
-BUCKET_BITS = 16
+#: Leading bits of the text's hash that name a run of groups, and the most runs that are gathered at a time.
+BUCKET_BITS, MOST_RUNS = 16, 1 << 16
 
 
 def cuts_for(capacity: int, ends: np.ndarray, shards: int) -> np.ndarray | None:
@@ -82,8 +85,46 @@ def even_cuts(sizes: np.ndarray, shards: int) -> np.ndarray:
     return np.where(np.arange(shards) == shards - 1, len(sizes), out)
 
 
-def bucket(h: Column) -> Column:
-    return F.shiftright(h, 64 - BUCKET_BITS).cast("int")
+def bucket(h: Column, bits: int) -> Column:
+    return F.shiftright(h, 64 - bits)
+
+
+def gathered(placed: DataFrame, bits: int) -> np.ndarray:
+    """Of each run of groups whose hashes share their leading bits: its least possible hash, its size and rows, whether it is one group, the bits."""
+    runs = placed.groupBy(bucket(F.col("h"), bits).alias("b")).agg(F.sum("size"), F.count("*"), F.min("h") == F.max("h")).orderBy("b").collect()
+    return np.array([(r[0] << (64 - bits), *r[1:], bits) for r in runs], dtype=np.int64).reshape(-1, 5)
+
+
+def open_runs(runs: np.ndarray, shards: int) -> np.ndarray:
+    """Which runs of several groups to open next: those a cut may fall into, for any capacity up to the smallest of these runs.
+
+    They are a few hundred unless a run exceeds a fair share by far; then only large ones, at most 64 a shard, are opened.
+    """
+    size, one = runs[:, 1], runs[:, 3] > 0
+    capacity, _ = minimax_cuts(size, shards)
+    ends, total = np.cumsum(size), int(size.sum())
+    found = np.zeros(len(runs), bool)
+    if capacity > max([-(-total // shards), *size[one].tolist()]):
+        for s in range(1, shards):
+            # What precedes cut s fits into s shards, what follows into the others.
+            found |= (ends > total - (shards - s) * capacity) & (ends - size < s * capacity)
+    found &= ~one & (runs[:, 4] < 64)
+    if found.sum() * 8 > MOST_RUNS:
+        found &= size * 64 * shards > total
+    return found & (runs[:, 4] == runs[found, 4].min(initial=64))
+
+
+def atoms(placed: DataFrame, shards: int) -> np.ndarray:
+    """Runs as ``gathered``, opened until the smallest capacity is that of the groups."""
+    runs = gathered(placed, BUCKET_BITS)
+    while len(runs) and (found := open_runs(runs, shards)).any():
+        bits = int(runs[found, 4][0])
+        more = min(64 - bits, max(1, (MOST_RUNS // int(found.sum())).bit_length() - 1))
+        names = [int(x) for x in runs[found, 0] >> (64 - bits)]
+        finer = gathered(placed.filter(bucket(F.col("h"), bits).isin(names)), bits + more)
+        runs = np.concatenate([runs[~found], finer])
+        runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    return runs
 
 
 def assign(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,12 +133,12 @@ def assign(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"), F.xxhash64(t).alias("h"))
     # Numbered in the order of (hash, id), so that a large group of equal texts spreads over many tasks.
     placed = numbered(rows, "h", "doc_id", "text_crc32", "size")
-    runs = placed.groupBy(bucket(F.col("h")).alias("b")).agg(F.sum("size"), F.count("*")).orderBy("b").collect()
-    cuts = even_cuts(np.array([r[1] for r in runs], dtype=np.int64), shards)
-    ranks = np.concatenate([[0], np.cumsum([r[2] for r in runs], dtype=np.int64)])
+    runs = atoms(placed, shards)
+    cuts = even_cuts(runs[:, 1], shards)
+    ranks = np.concatenate([[0], np.cumsum(runs[:, 2])])
     # A shard begins at the first run after the cut before it; shards past the last run stay empty.
     starts = [0, *cuts[:-1].tolist()]
-    shard = sum((F.when(bucket(F.col("h")) >= runs[s][0], 1).otherwise(0) for s in starts[1:] if s < len(runs)), F.lit(0)).cast("int")
+    shard = sum((F.when(F.col("h") >= F.lit(int(runs[s, 0])), 1).otherwise(0) for s in starts[1:] if s < len(runs)), F.lit(0)).cast("int")
     firsts = [int(ranks[s]) for s in starts]
     out = placed.withColumn("shard", shard).withColumn("slot", F.col("number") - F.get(numbers(firsts), F.col("shard")))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -77,3 +77,31 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     load = check(op7_sharding(spark, d).collect(), docs, 16)
     assert max(load.values()) <= sum(load.values()) / 16 + max(len(t.encode()) + 1 for _, t in docs)
+
+
+@pytest.mark.parametrize("bits, most", [(2, 8), (3, 64), (16, 1 << 16)])
+def test_capacity_is_that_of_the_groups_however_they_are_gathered(spark, monkeypatch, bits, most):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(shards, "BUCKET_BITS", bits)
+    monkeypatch.setattr(shards, "MOST_RUNS", most)
+    rng = np.random.default_rng(bits)
+    texts = [f"{i} " + "x" * int(n) for i, n in enumerate(rng.integers(0, 400, 300))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[::7] + texts[5:6] * (200 if bits == 3 else 0))], "doc_id long, text string")
+    groups = docs.groupBy(F.xxhash64("text").alias("h")).agg(F.sum(F.octet_length("text") + 1).alias("n")).orderBy("h").collect()
+    want = shards.minimax_cuts(np.array([r.n for r in groups], dtype=np.int64), 16)[0]
+    got = shards.assign(docs).groupBy("shard").agg(F.sum("size").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("c")).collect()
+    assert max(r.n for r in got) == want and all(r.a == 0 and r.b == r.c - 1 for r in got)
+    same = shards.assign(docs).groupBy("text_crc32", "size").agg(F.count_distinct("shard").alias("k"))
+    assert same.agg(F.max("k")).first()[0] == 1
+
+
+def test_a_hot_run_does_not_open_all_others():
+    size = np.full(1 << 16, 1000, dtype=np.int64)
+    size[40_000] = 30_000_000
+    runs = np.column_stack([np.arange(1 << 16, dtype=np.int64) - (1 << 15) << 48, size, size // 100, np.zeros_like(size), np.full_like(size, 16)])
+    assert np.flatnonzero(shards.open_runs(runs, 16)).tolist() == [40_000]
+    runs[40_000, 3] = 1
+    assert not shards.open_runs(runs, 16).any()
+    even = np.column_stack([runs[:, 0], np.random.default_rng(1).integers(500, 1500, 1 << 16), size, np.zeros_like(size), np.full_like(size, 16)])
+    assert 15 <= shards.open_runs(even, 16).sum() < 1000
