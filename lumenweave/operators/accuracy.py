@@ -20,6 +20,11 @@ def _valid(df: DataFrame, pred: str, obs: str) -> DataFrame:
     return df.filter(F.col(pred).isNotNull() & F.col(obs).isNotNull() & ~F.isnan(pred) & ~F.isnan(obs))
 
 
+def _some(n: str, what: str = "no valid pairs") -> F.Column:
+    """A count; none is an error when the result is used."""
+    return F.when(F.coalesce(F.col(n), F.lit(0)) == 0, F.raise_error(F.lit(what)).cast("long")).otherwise(F.col(n)).alias(n)
+
+
 def average_ranks(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:
     """``df`` with the rank of ``value`` from 1 on, equal values sharing their mean.
 
@@ -50,13 +55,16 @@ def correlation(a: str, b: str) -> F.Column:
 
 
 def continuous(df: DataFrame, pred: str, obs: str, by: Sequence[str] = (), rollup: bool = False) -> DataFrame:
-    """n_valid, r2 (1 - SSE / SST), rmse, mae, bias of the pairs, in one pass; by group, with totals if ``rollup``."""
+    """n_valid, r2 (1 - SSE / SST), rmse, mae, bias of the pairs, in one pass; by group, with totals if ``rollup``.
+
+    r2 of constant observations is 1 if they are met and 0 if not, NULL for one pair; no pair at all is an error when the result is used.
+    """
     held = _valid(df, pred, obs)
     grouped = held.rollup(*by) if rollup else held.groupBy(*by)
     d = F.col(pred) - F.col(obs)
     out = grouped.agg(F.count("*").alias("n_valid"), F.sum(d * d).alias("sse"), F.var_pop(obs).alias("var"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"))
-    r2 = F.when(F.col("var") > 0, 1 - F.col("sse") / (F.col("var") * F.col("n_valid")))
-    return out.select(*by, "n_valid", r2.alias("r2"), F.sqrt(F.col("sse") / F.col("n_valid")).alias("rmse"), "mae", "bias")
+    r2 = F.when(F.col("var") > 0, 1 - F.col("sse") / (F.col("var") * F.col("n_valid"))).when(F.col("n_valid") > 1, F.when(F.col("sse") == 0, 1.0).otherwise(0.0))
+    return out.select(*by, _some("n_valid"), r2.alias("r2"), F.sqrt(F.col("sse") / F.col("n_valid")).alias("rmse"), "mae", "bias")
 
 
 def compare_methods(a: DataFrame, b: DataFrame, value: str = "value") -> DataFrame:
@@ -86,7 +94,7 @@ def classified(df: DataFrame, pred: str, obs: str, nodata: int | None = -1) -> D
     labels = class_scores(confusion(df, pred, obs, nodata))
     t = labels.agg(F.sum("n_obs").alias("n_valid"), F.sum("n_hit").alias("hit"), F.sum(F.col("n_obs").cast("double") * F.col("n_pred")).alias("cross"), F.avg("f1").alias("f1_macro"))
     po, pe = F.col("hit") / F.col("n_valid"), F.col("cross") / (F.col("n_valid").cast("double") * F.col("n_valid"))
-    return t.select("n_valid", po.alias("accuracy"), F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"), "f1_macro")
+    return t.select(_some("n_valid"), po.alias("accuracy"), F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"), "f1_macro")
 
 
 def detection(df: DataFrame, predicted: str, actual: str) -> DataFrame:
@@ -103,7 +111,7 @@ def check_structures(points: DataFrame, raster: DataFrame, grid: Grid, value: st
     sampled = sample_points(points, raster, grid, [value])
     inside = sampled.filter(F.col(value).isNotNull())
     flagged = inside.withColumns({"_p": F.col(value) >= threshold, "_a": F.col(ordinal) >= damaged_from})
-    counts = sampled.agg(F.count(value).alias("n_inside"), (F.count("*") - F.count(value)).alias("n_outside"))
+    counts = sampled.agg(F.count(value).alias("n_inside"), (F.count("*") - F.count(value)).alias("n_outside")).select(_some("n_inside", "no point falls on a valid pixel"), "n_outside")
     scores = detection(flagged, "_p", "_a").join(F.broadcast(counts))
     means = inside.groupBy(ordinal).agg(F.count("*").alias("n"), F.avg(value).alias("v_mean"), F.stddev_pop(value).alias("v_std"))
     stats = with_quantiles(means, inside, [value], [0.5], [ordinal]).select(ordinal, "n", "v_mean", F.col(f"q_{value}")[0].alias("v_median"), "v_std")

@@ -199,16 +199,23 @@ def colocate_sites(sites: DataFrame, raster: DataFrame, grid: Grid, column: str,
 def overlap_matrix(scenes: DataFrame, key: str = "scene_id") -> DataFrame:
     """Pairs of scenes (a < b) that overlap, and the overlap over the smaller area.
 
-    ``scenes`` has a row a scene: its key, xmin, ymin, xmax, ymax. Pairs are met by equal cells of a coarse tiling, so
-    scenes that are far apart never meet.
+    ``scenes`` has a row a scene: its key, xmin, ymin, xmax, ymax. Scenes are met by equal cells of tilings, one for each
+    power of two that a scene's longer side reaches: the tiling of the larger scene of a pair, of which either covers a
+    few cells. So scenes that are far apart never meet, and one large scene doesn't bring the small ones together.
     """
-    tile = scenes.agg(F.max(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1e-9))).alias("t"))
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.col("t")), F.floor(F.col(hi) / F.col("t")))
-    tiled = scenes.join(F.broadcast(tile)).withColumn("tx", F.explode(span("xmin", "xmax"))).withColumn("ty", F.explode(span("ymin", "ymax")))
     box = ["xmin", "ymin", "xmax", "ymax"]
-    a = tiled.select("tx", "ty", F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in box])
-    b = tiled.select("tx", "ty", F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in box])
-    pairs = a.join(b, ["tx", "ty"]).filter(F.col("a") < F.col("b")).drop("tx", "ty").distinct()
+    longer = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(1e-9))
+    own = scenes.select(F.col(key).alias("key"), *box, F.ceil(F.log2(longer)).cast("int").alias("level"))
+    levels = own.agg(F.collect_set("level").alias("levels"))  # one row of at most some hundred exponents
+    up = own.join(F.broadcast(levels)).withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.col("level")))).drop("levels")
+    side = F.pow(F.lit(2.0), F.col("level"))
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side))
+    tiled = lambda df: df.withColumn("tx", F.explode(span("xmin", "xmax"))).withColumn("ty", F.explode(span("ymin", "ymax")))
+    smaller = tiled(up).select("level", "tx", "ty", F.struct("key", *box).alias("s"))
+    larger = tiled(own).select("level", "tx", "ty", F.struct("key", *box).alias("l"))
+    met = smaller.join(larger, ["level", "tx", "ty"]).filter(F.col("s.key") != F.col("l.key"))
+    pairs = met.select(F.least("s", "l").alias("p"), F.greatest("s", "l").alias("q")).distinct()
+    pairs = pairs.select(F.col("p.key").alias("a"), F.col("q.key").alias("b"), *[F.col(f"{x}.{c}").alias(f"{y}_{c}") for x, y in (("p", "a"), ("q", "b")) for c in box])
     w = F.least("a_xmax", "b_xmax") - F.greatest("a_xmin", "b_xmin")
     h = F.least("a_ymax", "b_ymax") - F.greatest("a_ymin", "b_ymin")
     area = lambda p: (F.col(f"{p}_xmax") - F.col(f"{p}_xmin")) * (F.col(f"{p}_ymax") - F.col(f"{p}_ymin"))

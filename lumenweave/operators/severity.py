@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -150,18 +151,24 @@ def predict(df: DataFrame, trained: Trained) -> DataFrame:
 
 
 def trajectories(scenes: Mapping[str, tuple[DataFrame, Grid]], library: DataFrame, spectrum: str = "spectrum", aligned: bool = True, **unmixing) -> DataFrame:
-    """(ts, row, col, fractions, rmse): all dates' fractions on one grid; unmixing runs once over the union of the dates."""
+    """(ts, row, col, fractions, rmse): all dates' fractions on one grid.
+
+    Nearest cells of spectra are the nearest cells of their fractions, so scenes on different grids are unmixed where they
+    are and a handful of numbers a pixel travels to the common grid instead of a spectrum; others are unmixed together.
+    """
     if not scenes:
         raise ValueError("no scenes given")
+
+    def dated(k: str, df: DataFrame) -> DataFrame:
+        return df.select("row", "col", spectrum).withColumn("key", F.lit(k)).withColumn("ts", F.try_to_timestamp(F.lit(k)))
+
     grids = {g for _, g in scenes.values()}
     if len(grids) > 1:
         if not aligned:
             raise ValueError("the scenes are on different grids")
-        frames, _ = align(scenes, [spectrum])
-    else:
-        frames = {k: df.select("row", "col", spectrum) for k, (df, _) in scenes.items()}
-    whole = None
-    for k, df in frames.items():
-        dated = df.withColumn("key", F.lit(k)).withColumn("ts", F.try_to_timestamp(F.lit(k)))
-        whole = dated if whole is None else whole.unionByName(dated)
+        own = {k: (unmix(dated(k, df), library, spectrum=spectrum, **unmixing), g) for k, (df, g) in scenes.items()}
+        order = next(iter(own.values()))[0].columns
+        frames, _ = align(own, [c for c in order if c not in ("row", "col")])
+        return reduce(DataFrame.unionByName, frames.values()).select(order)
+    whole = reduce(DataFrame.unionByName, [dated(k, df) for k, (df, _) in scenes.items()])
     return unmix(whole, library, spectrum=spectrum, **unmixing)
