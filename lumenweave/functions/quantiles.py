@@ -16,6 +16,8 @@ from lumenweave.functions.durable import cut
 
 #: Stretches that the values of a group are counted into; their counts are the rows of one window.
 BINS = 1 << 14
+#: Groups up to which their few numbers are broadcast, so that values needn't be dealt by group.
+FEW = 10_000
 
 
 def _bin(v: Column, lo: Column, hi: Column) -> Column:
@@ -32,17 +34,18 @@ def quantiles(df: DataFrame, values: Sequence[str], shares: Sequence[float], by:
     stacked = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values]))
     rows = df.select(F.struct(*by, F.lit(0).alias("_")).alias("g"), stacked.alias("s")).select(F.struct("g", "s.name").alias("k"), F.col("s.v").alias("v"))
     held = cut(rows.filter(F.col("v").isNotNull() & ~F.isnan("v")))
-    ends = held.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    binned = held.join(ends.select("k", "lo", "hi"), "k").select("k", "v", _bin(F.col("v"), F.col("lo"), F.col("hi")).alias("bin"))
+    ends = cut(held.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    hint = F.broadcast if ends.limit(FEW + 1).count() <= FEW else lambda small: small
+    binned = held.join(hint(ends.select("k", "lo", "hi")), "k").select("k", "v", _bin(F.col("v"), F.col("lo"), F.col("hi")).alias("bin"))
     counts = binned.groupBy("k", "bin").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     counts = counts.withColumn("before", F.sum("c").over(Window.partitionBy("k").orderBy("bin")) - F.col("c"))
     place = [F.lit(float(q)) * (F.col("n") - 1) for q in shares]
     ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in place for f in (F.floor, F.ceil)]))
     wanted = ends.select("k", F.explode(ranks).alias("rank"))
     # As many rows as ranks are wanted.
-    hit = cut(counts.join(wanted, "k").filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))))
+    hit = cut(counts.join(hint(wanted), "k").filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))))
     narrow = hit.filter("lo < hi")
-    inner = binned.join(narrow.select("k", "bin").distinct(), ["k", "bin"]).groupBy("k", "bin", "v").agg(F.count("*").alias("m"))
+    inner = binned.join(hint(narrow.select("k", "bin").distinct()), ["k", "bin"]).groupBy("k", "bin", "v").agg(F.count("*").alias("m"))
     inner = inner.withColumn("to", F.sum("m").over(Window.partitionBy("k", "bin").orderBy("v")))
     there = F.col("rank") - F.col("before")
     found = narrow.select("k", "bin", "rank", "before").join(inner, ["k", "bin"]).filter((there < F.col("to")) & (there >= F.col("to") - F.col("m")))

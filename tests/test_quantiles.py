@@ -13,9 +13,10 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "g int, h string, v double, w float")
 
 
-@pytest.mark.parametrize("bins", [1, 7, Q.BINS])
-def test_against_numpy(spark, monkeypatch, bins):
+@pytest.mark.parametrize("bins, few", [(1, 0), (7, 0), (7, 100), (Q.BINS, Q.FEW)])
+def test_against_numpy(spark, monkeypatch, bins, few):
     monkeypatch.setattr(Q, "BINS", bins)
+    monkeypatch.setattr(Q, "FEW", few)
     rng = np.random.default_rng(bins)
     groups = {(1, "a"): rng.normal(0, 1, 301), (1, None): rng.integers(0, 3, 50).astype(float), (None, "b"): np.array([5.0]), (2, "a"): np.array([1e300, -1e300, 0.0, 1.0]), (3, "c"): np.array([np.inf, 1.0, 2.0, 3.0, 4.0])}
     rows = [(*k, float(x), float(np.float32(x * 0 if abs(x) > 1e30 else x))) for k, xs in groups.items() for x in xs] + [(1, "a", None, None), (1, "a", float("nan"), None), (9, "z", None, None)]
