@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenweave.functions.durable import numbered
+from lumenweave.functions.durable import cut, numbered
 from lumenweave.functions.missing import finite
 from lumenweave.functions.quantiles import with_quantiles
 from lumenweave.operators.grid import Grid, sample_points
@@ -15,6 +15,9 @@ from lumenweave.operators.grid import Grid, sample_points
 #: Damage categories of structures in order.
 DAMAGE = ("No Damage", "Affected (1-9%)", "Minor (10-25%)", "Major (26-50%)", "Destroyed (>50%)")
 
+#: Distinct values that one task may put in order.
+ORDERED = 1 << 20
+
 
 def _valid(df: DataFrame, pred: str, obs: str) -> DataFrame:
     return df.filter(F.col(pred).isNotNull() & F.col(obs).isNotNull() & ~F.isnan(pred) & ~F.isnan(obs))
@@ -25,12 +28,17 @@ def _some(n: str, what: str = "no valid pairs") -> F.Column:
     return F.when(F.coalesce(F.col(n), F.lit(0)) == 0, F.raise_error(F.lit(what)).cast("long")).otherwise(F.col(n)).alias(n)
 
 
-def average_ranks(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:
-    """``df`` with the rank of ``value`` from 1 on, equal values sharing their mean.
+def average_ranks(df: DataFrame, value: str, rank: str = "rank", weight: str | None = None) -> DataFrame:
+    """``df`` with the rank of ``value`` from 1 on, equal values sharing their mean; a row counts ``weight`` times.
 
-    Distinct values are counted, then ordered by ranges: no task sees all rows. NULL values have no rank.
+    Distinct values are counted, then ordered: up to ``ORDERED`` of them by one task, more by ranges, so that no task
+    sees all rows or an unbounded number of values. NULL values have no rank.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    times = F.count("*") if weight is None else F.sum(weight)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(times.alias("_n"))
+    if counts.count() <= ORDERED:
+        to = F.sum("_n").over(Window.orderBy(value))
+        return df.join(counts.select(value, (to - (F.col("_n") - 1) / 2).alias(rank)), value, "left")
     placed = numbered(counts, value).withColumn("_block", F.expr("number div 4096"))
     inner = Window.partitionBy("_block").orderBy("number")
     sums = placed.withColumn("_to", F.sum("_n").over(inner))
@@ -43,10 +51,17 @@ def average_ranks(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:
 
 
 def spearman(df: DataFrame, pred: str, obs: str) -> DataFrame:
-    """One row: the rank correlation; NULL for fewer than two pairs or constant ranks."""
-    pairs = _valid(df, pred, obs).select(F.col(pred).alias("p"), F.col(obs).alias("o"))
-    ranked = average_ranks(average_ranks(pairs, "p", "rp"), "o", "ro")
-    return ranked.agg(correlation("rp", "ro").alias("spearman"))
+    """One row: the rank correlation; NULL for fewer than two pairs or constant ranks.
+
+    Equal pairs are counted first, so what is ranked and joined is a row a distinct pair.
+    """
+    cells = cut(_valid(df, pred, obs).groupBy(F.col(pred).alias("p"), F.col(obs).alias("o")).agg(F.count("*").alias("w")))
+    n = cells.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    ranked = average_ranks(average_ranks(cells, "p", "rp", "w"), "o", "ro", "w")
+    # The mean of all ranks is known, so the sums are of what ranks differ from it.
+    a, b, w = F.col("rp") - (n + 1) / 2, F.col("ro") - (n + 1) / 2, F.col("w")
+    rho = F.try_divide(F.sum(w * a * b), F.sqrt(F.sum(w * a * a)) * F.sqrt(F.sum(w * b * b)))
+    return ranked.agg(F.when(F.lit(n > 1), rho).alias("spearman"))
 
 
 def correlation(a: str, b: str) -> F.Column:

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -111,6 +112,16 @@ def test_ranks_and_spearman(spark):
     assert accuracy.spearman(df.limit(1), "a", "b").first()[0] is None
 
 
+def test_ranks_by_ranges_equal_those_by_one_order(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v, w = rng.integers(0, 9000, 12_000) / 4.0, rng.integers(0, 30, 12_000)
+    df = spark.createDataFrame(pd.DataFrame({"a": v, "b": w.astype(float)}))
+    at_once = accuracy.spearman(df, "a", "b").first()[0]
+    monkeypatch.setattr(accuracy, "ORDERED", -1)
+    assert accuracy.spearman(df, "a", "b").first()[0] == pytest.approx(at_once, abs=1e-12)
+    assert at_once == pytest.approx(np.corrcoef(pd.Series(v).rank(), pd.Series(w).rank())[0, 1])
+
+
 def test_ranks_over_many_blocks(spark):
     df = spark.range(10_000).select((F.col("id") * 7919 % 10_000).cast("double").alias("a"))
     assert accuracy.average_ranks(df, "a").filter("rank != a + 1").count() == 0

@@ -32,6 +32,12 @@ def test_against_numpy(spark, monkeypatch, bins, few):
     assert Q.quantiles(whole, ["v"], shares).first().q_v == want
 
 
+@pytest.mark.parametrize("bins, few", [(1, 0), (7, 100), (Q.BINS, Q.FEW)])
+def test_by_stretches_against_numpy(spark, monkeypatch, bins, few):
+    monkeypatch.setattr(Q, "ORDERED", -1)
+    test_against_numpy(spark, monkeypatch, bins, few)
+
+
 def test_groups_without_numbers_and_no_rows(spark):
     df = frame(spark, [(1, "a", None, 1.0), (None, "a", 2.0, 1.0)])
     groups = df.groupBy("g").count()
