@@ -52,10 +52,15 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 11: 4, 12: 8, 16: 8}
 
 def encode_geotiff(bands: np.ndarray, grid: Grid, nodata: float | None = None, strip_rows: int = 64) -> bytes:
     """A GeoTIFF (deflate, planar bands, strips) of an array (bands, rows, columns) of float32, int16 or uint8."""
-    n, h, w = bands.shape
-    fmt = {"f": 3, "i": 2, "u": 1}[bands.dtype.kind]
+    n, h, _ = bands.shape
     little = bands.astype(bands.dtype.newbyteorder("<"))
     strips = [zlib.compress(little[b, r : r + strip_rows].tobytes(), 6) for b in range(n) for r in range(0, h, strip_rows)]
+    return geotiff_of_strips(strips, n, bands.dtype, grid, nodata, strip_rows)
+
+
+def geotiff_of_strips(strips: Sequence[bytes], n: int, dtype: np.dtype, grid: Grid, nodata: float | None = None, strip_rows: int = 64) -> bytes:
+    """The file of deflated strips, those of the first of ``n`` bands first."""
+    fmt = {"f": 3, "i": 2, "u": 1}[dtype.kind]
     epsg = int(grid.crs.rpartition(":")[2]) if grid.crs else 32767
     keys = (1, 1, 0, 3, 1024, 0, 1, 1, 1025, 0, 1, 1, 3072, 0, 1, epsg)
     offsets, at_ = [], 8
@@ -63,7 +68,7 @@ def encode_geotiff(bands: np.ndarray, grid: Grid, nodata: float | None = None, s
         offsets.append(at_)
         at_ += len(s)
     tags: list[tuple[int, int, tuple | bytes]] = [
-        (256, 4, (w,)), (257, 4, (h,)), (258, 3, (bands.dtype.itemsize * 8,) * n), (259, 3, (8,)), (262, 3, (1,)), (273, 4, tuple(offsets)), (277, 3, (n,)), (278, 4, (strip_rows,)), (279, 4, tuple(map(len, strips))), (284, 3, (2 if n > 1 else 1,)), (339, 3, (fmt,) * n),
+        (256, 4, (grid.width,)), (257, 4, (grid.height,)), (258, 3, (dtype.itemsize * 8,) * n), (259, 3, (8,)), (262, 3, (1,)), (273, 4, tuple(offsets)), (277, 3, (n,)), (278, 4, (strip_rows,)), (279, 4, tuple(map(len, strips))), (284, 3, (2 if n > 1 else 1,)), (339, 3, (fmt,) * n),
         (33550, 12, (grid.size, grid.size, 0.0)), (33922, 12, (0.0, 0.0, 0.0, grid.west, grid.north, 0.0)), (34735, 3, keys),
     ]
     if nodata is not None:
@@ -78,24 +83,83 @@ def encode_geotiff(bands: np.ndarray, grid: Grid, nodata: float | None = None, s
     return b"II*\0" + struct.pack("<I", ifd) + b"".join(strips) + b"\0" * (at_ % 2) + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0" + extra
 
 
-def decode_geotiff(data: bytes) -> tuple[np.ndarray, Grid, float | None]:
-    """(bands, rows, columns), grid and nodata of a striped or tiled GeoTIFF, raw or deflated, without predictor."""
+def geotiff_tags(data: bytes) -> tuple[str, dict[int, tuple | bytes]]:
+    """Byte order and tags of the first image of a TIFF or BigTIFF file."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+    version = struct.unpack(order + "H", data[2:4])[0] if order else 0
+    if version not in (42, 43):
         raise ValueError("not a TIFF file")
-    (ifd,) = struct.unpack(order + "I", data[4:8])
+    word, count, head = ("I", "H", 2) if version == 42 else ("Q", "Q", 8)
+    room = struct.calcsize(order + word)
+    (ifd,) = struct.unpack(order + word, data[8:16] if version == 43 else data[4:8])
     tags: dict[int, tuple | bytes] = {}
-    for i in range(struct.unpack(order + "H", data[ifd : ifd + 2])[0]):
-        p = ifd + 2 + 12 * i
-        tag, kind, n = struct.unpack(order + "HHI", data[p : p + 8])
-        size = _SIZES.get(kind, 1) * n
-        where = p + 8 if size <= 4 else struct.unpack(order + "I", data[p + 8 : p + 12])[0]
+    for i in range(struct.unpack(order + count, data[ifd : ifd + head])[0]):
+        p = ifd + head + (4 + 2 * room) * i
+        tag, kind = struct.unpack(order + "HH", data[p : p + 4])
+        (n,) = struct.unpack(order + word, data[p + 4 : p + 4 + room])
+        size, where = _SIZES.get(kind, 1) * n, p + 4 + room
+        if size > room:
+            (where,) = struct.unpack(order + word, data[where : where + room])
         raw = data[where : where + size]
         tags[tag] = raw if kind not in _KINDS or kind == 2 else struct.unpack(order + f"{n * len(_KINDS[kind])}{_KINDS[kind][0]}", raw)
+    return order, tags
+
+
+def geotiff_grid(tags: Mapping[int, tuple | bytes]) -> tuple[Grid, float | None]:
+    """Grid and nodata by a GeoTIFF's tags."""
+    scale, tie = tags.get(33550, (1.0, 1.0, 0.0)), tags.get(33922, (0.0,) * 6)
+    keys = tags.get(34735, ())
+    epsg = next((keys[i + 3] for i in range(4, len(keys), 4) if keys[i] in (3072, 2048)), None)
+    nodata = float(bytes(tags[42113]).rstrip(b"\0 ")) if 42113 in tags else None
+    return Grid(tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1], scale[0], tags[256][0], tags[257][0], f"EPSG:{epsg}" if epsg else None), nodata
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, the highest bit first, 256 to begin anew and 257 at the end."""
+    table: list[bytes] = []
+    out, held, bits, width, last = [], 0, 0, 9, b""
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if code > len(table) or (code == len(table) and not last):
+            raise ValueError("broken LZW data")
+        found = table[code] if code < len(table) else last + last[:1]
+        out.append(found)
+        if last:
+            table.append(last + found[:1])
+            # The writer widens its codes one entry before its table is full.
+            width = min(12, max(9, (len(table) + 1).bit_length()))
+        last = found
+    return b"".join(out)
+
+
+def _cells(raw: bytes, dtype: np.dtype, predictor: int, rows: int, cols: int, per_cell: int) -> np.ndarray:
+    """(rows, cols, values) of an unpacked strip or tile: differences along rows are summed up again."""
+    if predictor == 3:
+        # Bytes of a row stand by significance, the highest first, as differences.
+        planes = np.frombuffer(raw, np.uint8)[: rows * cols * per_cell * dtype.itemsize].reshape(rows, -1, per_cell)
+        planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, dtype.itemsize, cols * per_cell)
+        return np.ascontiguousarray(np.moveaxis(planes, 1, 2)).view(dtype.newbyteorder(">")).reshape(rows, cols, per_cell)
+    cell = np.frombuffer(raw, dtype)[: rows * cols * per_cell].reshape(rows, cols, per_cell)
+    return np.cumsum(cell, axis=1, dtype=dtype) if predictor == 2 else cell
+
+
+def decode_geotiff(data: bytes) -> tuple[np.ndarray, Grid, float | None]:
+    """(bands, rows, columns), grid and nodata of a striped or tiled GeoTIFF or BigTIFF: raw, deflated or LZW, with any predictor."""
+    order, tags = geotiff_tags(data)
     one = lambda t, default=None: tags[t][0] if t in tags else default
-    w, h, n = one(256), one(257), one(277, 1)
-    if one(259, 1) not in (1, 8, 32946) or one(317, 1) != 1:
-        raise ValueError("only raw and deflated TIFF without predictor")
+    w, h, n, packing, predictor = one(256), one(257), one(277, 1), one(259, 1), one(317, 1)
+    unpack = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress}.get(packing)
+    if unpack is None or predictor not in (1, 2, 3):
+        raise ValueError(f"unknown compression {packing} or predictor {predictor}")
     dtype = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[one(339, 1)] }{one(258, 8) // 8}".replace(" ", ""))
     planar = one(284, 1) == 2
     tiled = 322 in tags
@@ -104,20 +168,15 @@ def decode_geotiff(data: bytes) -> tuple[np.ndarray, Grid, float | None]:
     across, down = -(-w // bw), -(-h // bh)
     out = np.zeros((n, h, w), dtype)
     for k, (o, c) in enumerate(zip(offsets, counts)):
-        raw = data[o : o + c] if one(259, 1) == 1 else zlib.decompress(data[o : o + c])
         b, k = divmod(k, across * down) if planar else (None, k)
         r, q = k // across * bh, k % across * bw
         rows = bh if tiled else min(bh, h - r)
-        cell = np.frombuffer(raw, dtype)[: rows * bw * (1 if planar else n)].reshape(rows, bw, -1)[: h - r, : w - q]
+        cell = _cells(unpack(data[o : o + c]), dtype, predictor, rows, bw, 1 if planar else n)[: h - r, : w - q]
         if planar:
             out[b, r : r + rows, q : q + bw] = cell[:, :, 0]
         else:
             out[:, r : r + rows, q : q + bw] = np.moveaxis(cell, 2, 0)
-    scale, tie = tags.get(33550, (1.0, 1.0, 0.0)), tags.get(33922, (0.0,) * 6)
-    keys = tags.get(34735, ())
-    epsg = next((keys[i + 3] for i in range(4, len(keys), 4) if keys[i] in (3072, 2048)), None)
-    nodata = float(bytes(tags[42113]).rstrip(b"\0 ")) if 42113 in tags else None
-    return out, Grid(tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1], scale[0], w, h, f"EPSG:{epsg}" if epsg else None), nodata
+    return out, *geotiff_grid(tags)
 
 
 def read_geotiff(spark: SparkSession, path: str, names: Sequence[str] = ("value",)) -> DataFrame:
@@ -139,12 +198,19 @@ def read_geotiff(spark: SparkSession, path: str, names: Sequence[str] = ("value"
 
 
 def grid_of_file(spark: SparkSession, path: str) -> tuple[Grid, float | None]:
-    """Grid and nodata of one GeoTIFF file."""
-    content = spark.read.format("binaryFile").load(path).select("content").first()
-    if content is None:
+    """Grid and nodata of one GeoTIFF file: its tags are read in a task, so no pixel is decoded or sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                g, nodata = geotiff_grid(geotiff_tags(content)[1])
+                yield pa.RecordBatch.from_pylist([{"west": g.west, "north": g.north, "size": g.size, "width": g.width, "height": g.height, "crs": g.crs, "nodata": nodata}], schema=fields)
+
+    fields = pa.schema([("west", pa.float64()), ("north", pa.float64()), ("size", pa.float64()), ("width", pa.int32()), ("height", pa.int32()), ("crs", pa.string()), ("nodata", pa.float64())])
+    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "west double, north double, size double, width int, height int, crs string, nodata double").first()
+    if found is None:
         raise FileNotFoundError(path)
-    _, grid, nodata = decode_geotiff(bytes(content.content))
-    return grid, nodata
+    return Grid(*found[:6]), found.nodata
 
 
 def read_classes(spark: SparkSession, path: str, code_map: Mapping[int, int] | None = None, target: Grid | None = None, strict: bool = True) -> DataFrame:

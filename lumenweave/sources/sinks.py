@@ -6,17 +6,18 @@ import json
 import struct
 import time
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweave.operators.aggregates import quicklook_range
 from lumenweave.operators.display import STYLES, thumbnail
 from lumenweave.operators.grid import Grid
-from lumenweave.sources.rasters import encode_geotiff
+from lumenweave.sources.rasters import geotiff_of_strips
 
 
 def write_product(df: DataFrame, path: str) -> None:
@@ -32,9 +33,39 @@ def collect_raster(df: DataFrame, value: str, rows: int, cols: int) -> np.ndarra
     return out
 
 
-def write_geotiff(df: DataFrame, value: str, grid: Grid, path: str) -> None:
-    """One product as a deflated float32 GeoTIFF in a local file."""
-    Path(path).write_bytes(encode_geotiff(collect_raster(df, value, grid.height, grid.width)[None], grid, float("nan")))
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """One file, in any store that Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        for at in range(0, len(data), 1 << 24):
+            out.write(bytearray(data[at : at + (1 << 24)]))
+    finally:
+        out.close()
+
+
+def write_geotiff(df: DataFrame, value: str | Sequence[str], grid: Grid, path: str, strip_rows: int = 64) -> None:
+    """One product, or several as bands, as a deflated float32 GeoTIFF; cells without a row or value are NaN.
+
+    Strips are filled and deflated in tasks, of which each holds one at a time; the driver sees deflated strips only.
+    """
+    names = [value] if isinstance(value, str) else list(value)
+    down, width = -(-grid.height // strip_rows), grid.width
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        strip = int(rows["strip"].iloc[0])
+        cells = np.full((len(names), min(strip_rows, grid.height - strip * strip_rows), width), np.nan, "<f4")
+        for b in range(len(names)):
+            cells[b, rows["row"] - strip * strip_rows, rows["col"]] = rows[f"v{b}"]
+        return pd.DataFrame({"strip": strip, "band": range(len(names)), "data": [zlib.compress(c.tobytes(), 6) for c in cells]})
+
+    inside = F.col("row").between(0, grid.height - 1) & F.col("col").between(0, width - 1)
+    columns = [F.col(c).cast("float").alias(f"v{b}") for b, c in enumerate(names)]
+    cells = df.filter(inside).select(F.expr(f"cast(row div {strip_rows} as int)").alias("strip"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *columns)
+    found = {(r.band, r.strip): bytes(r.data) for r in cells.groupBy("strip").applyInPandas(run, "strip int, band int, data binary").toLocalIterator()}
+    blank = lambda s: zlib.compress(np.full((min(strip_rows, grid.height - s * strip_rows), width), np.nan, "<f4").tobytes(), 6)
+    strips = [found.get((b, s)) or blank(s) for b in range(len(names)) for s in range(down)]
+    put(df.sparkSession, path, geotiff_of_strips(strips, len(names), np.dtype("<f4"), grid, float("nan"), strip_rows))
 
 
 def png(grey: np.ndarray) -> bytes:
@@ -51,7 +82,7 @@ def write_quicklook(df: DataFrame, value: str, rows: int, cols: int, path: str,
     f = max(1, -(-max(rows, cols) // most))
     raster = collect_raster(thumbnail(df, value, rows, cols, most), value, -(-rows // f), -(-cols // f))
     scaled = np.clip((raster - (low or 0)) / max((high or 0) - (low or 0), 1e-6), 0, 1)
-    Path(path).write_bytes(png(np.nan_to_num(scaled) * 255))
+    put(df.sparkSession, path, png(np.nan_to_num(scaled) * 255))
 
 
 def write_comparison(df: DataFrame, path: str) -> None:

@@ -297,3 +297,65 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(got) == len(want) == 10
     for g, w in zip(got, want):
         assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:])
+
+
+def packed_lzw(data: bytes) -> bytes:
+    """TIFF's LZW by the book: the longest known string each time, a clear code first and whenever the table is full."""
+    out, table = [(256, 9)], {bytes([i]): i for i in range(256)}
+    size, held = 258, b""
+    for i in range(len(data)):
+        longer = data[i : i + 1] if not held else held + data[i : i + 1]
+        if longer in table:
+            held = longer
+            continue
+        out.append((table[held], max(9, size.bit_length())))
+        table[longer], size, held = size, size + 1, data[i : i + 1]
+        if size == 4094:
+            out.append((256, 12))
+            table, size = {bytes([i]): i for i in range(256)}, 258
+    if held:
+        out.append((table[held], max(9, size.bit_length())))
+        size += 1
+    out.append((257, max(9, size.bit_length())))
+    bits = "".join(f"{code:0{width}b}" for code, width in out)
+    return bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+
+
+@pytest.mark.parametrize("n", [0, 1, 300, 40_000])
+@pytest.mark.parametrize("kinds", [2, 256])
+def test_lzw(n, kinds):
+    data = np.random.default_rng(n).integers(0, kinds, n).astype(np.uint8).tobytes()
+    assert rasters.unpack_lzw(packed_lzw(data)) == data
+    with pytest.raises(ValueError, match="LZW"):
+        rasters.unpack_lzw(b"\x00\x00\x00")
+
+
+def test_predictors():
+    x = np.random.default_rng(3).normal(size=(4, 5, 2)).astype("<f4")
+    differences = np.diff(x.astype(">f4").view(np.uint8).reshape(4, 10, 4).transpose(0, 2, 1).reshape(4, 20, 2), axis=1, prepend=np.zeros((4, 1, 2), np.uint8)).astype(np.uint8)
+    assert np.array_equal(rasters._cells(differences.tobytes(), x.dtype, 3, 4, 5, 2), x)
+    codes = np.random.default_rng(4).integers(0, 60_000, (4, 5, 2)).astype("<u2")
+    steps = np.diff(codes, axis=1, prepend=np.zeros((4, 1, 2), "<u2")).astype("<u2")
+    assert np.array_equal(rasters._cells(steps.tobytes(), codes.dtype, 2, 4, 5, 2), codes)
+
+
+def test_bigtiff():
+    values = np.arange(12, dtype="<u2").reshape(3, 4)
+    strip = packed_lzw(values.tobytes())
+    tags = [(256, 4, 4), (257, 4, 3), (258, 3, 16), (259, 3, 5), (273, 16, 16), (277, 3, 1), (278, 4, 3), (279, 16, len(strip)), (339, 3, 1)]
+    entries = b"".join(struct.pack("<HHQQ", t, k, 1, v) for t, k, v in tags)
+    at = 16 + len(strip)
+    data = b"II+\0" + struct.pack("<HHQ", 8, 0, at) + strip + struct.pack("<Q", len(tags)) + entries + bytes(8)
+    back, grid, _ = rasters.decode_geotiff(data)
+    assert np.array_equal(back[0], values) and (grid.width, grid.height) == (4, 3)
+
+
+def test_geotiff_of_bands_with_holes(spark, tmp_path):
+    g = Grid(0.0, 90.0, 30.0, 3, 5, "EPSG:32611")
+    df = spark.createDataFrame([(0, 0, 1.0, 2.0), (4, 2, 3.0, None), (9, 9, 7.0, 7.0)], "row int, col int, a double, b double")
+    sinks.write_geotiff(df, ["a", "b"], g, str(tmp_path / "ab.tif"), strip_rows=2)
+    back, grid, _ = rasters.decode_geotiff((tmp_path / "ab.tif").read_bytes())
+    assert grid == g and back[0, 0, 0] == 1 and back[1, 0, 0] == 2 and back[0, 4, 2] == 3 and np.isfinite(back).sum() == 3
+    assert rasters.grid_of_file(spark, str(tmp_path / "ab.tif"))[0] == g
+    got = rasters.read_geotiff(spark, str(tmp_path / "ab.tif"), ("a", "b")).filter("a is not null").collect()
+    assert sorted((r.row, r.col, r.a, r.b) for r in got) == [(0, 0, 1.0, 2.0), (4, 2, 3.0, None)]
