@@ -791,3 +791,5 @@ def map_extent(spark, d):
     return display.extent(v.px(spark, d).withColumns({"x": x, "y": y}))
 
 
+# The queries of files register themselves with the helpers above.
+from lumenweave.plans import files  # noqa: E402, F401
