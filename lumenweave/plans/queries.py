@@ -614,7 +614,7 @@ def ear_masa(spark, d):
     return library.quality(v.lib(spark, d)).select("spectrum_id", F.round("ear", 5).alias("ear"), F.round("masa_deg", 4).alias("masa_deg"))
 
 
-@query()
+@query(f"WITH {v.PX}, {v.LIB}, p AS (SELECT a.id, {_AA} AS aa, {_BB} AS bb, {_AB} AS ab FROM lib a JOIN lib b ON a.category = b.category AND a.id <> b.id), q AS (SELECT id, degrees(acos(least(1, greatest(-1, ab / (sqrt(aa) * sqrt(bb)))))) AS angle, sqrt(greatest((least(1, greatest(0, ab / aa)) ** 2 * aa - 2 * least(1, greatest(0, ab / aa)) * ab + bb) / 64, 0)) AS e FROM p), m AS (SELECT lib.id, coalesce(avg(e), 0) AS ear, coalesce(avg(angle), 0) AS masa FROM lib LEFT JOIN q USING (id) GROUP BY lib.id), k AS (SELECT *, NOT (ear > 0.16 AND masa > 20) AS kept FROM m) SELECT id AS spectrum_id, round(ear, 5) AS ear FROM k WHERE kept OR NOT (SELECT bool_or(kept) FROM k)")
 def prune_library(spark, d):
     return library.prune(v.lib(spark, d), 0.16, 20.0).select("spectrum_id", F.round("ear", 5).alias("ear"))
 
@@ -681,10 +681,21 @@ def mesma_unmix(spark, d):
     return out.select("row", "col", F.round("shade", 5).alias("shade"), F.round("rmse", 5).alias("rmse"))
 
 
-@query()
+_THREE = (
+    f"WITH {v.PX}, {v.LIB.replace('n <= 6', 'n <= 2')}, h AS (SELECT px.r, px.c, lib.id, lib.category, {_DOT.format(a='px.s', b='lib.s')} AS h, {_DOT.format(a='lib.s', b='lib.s')} AS g FROM px, lib), sq AS (SELECT r, c, {_DOT.format(a='s', b='s')} AS ss FROM px), "
+    f"g AS (SELECT a.id AS i, b.id AS j, {_AB} AS g FROM lib a JOIN lib b ON a.category < b.category), "
+    "two AS (SELECT a.r, a.c, (a.h * b.g - b.h * g.g) / (a.g * b.g - g.g * g.g) AS f1, (b.h * a.g - a.h * g.g) / (a.g * b.g - g.g * g.g) AS f2, a.h AS h1, b.h AS h2 FROM g JOIN h a ON a.id = g.i JOIN h b ON b.id = g.j AND a.r = b.r AND a.c = b.c WHERE a.g * b.g - g.g * g.g > 1e-9 * a.g * b.g), "
+    "m AS (SELECT r, c, h / g AS f1, h / g AS f2, 1 - h / g AS shade, h * h / g AS fit FROM h UNION ALL SELECT r, c, f1, f2, 1 - f1 - f2, f1 * h1 + f2 * h2 FROM two), "
+    "e AS (SELECT m.*, sqrt(greatest(ss - fit, 0) / 64) AS rmse FROM m JOIN sq USING (r, c)), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY rmse) AS n FROM e WHERE f1 BETWEEN -0.050000001 AND 1.050000001 AND f2 BETWEEN -0.050000001 AND 1.050000001 AND shade BETWEEN -1e-9 AND 0.800000001 AND rmse <= 0.2) "
+    'SELECT px.r AS "row", px.c AS "col", round(shade, 5) + CAST(0 AS DOUBLE) AS shade, round(rmse, 5) AS rmse FROM px LEFT JOIN k ON px.r = k.r AND px.c = k.c AND n = 1'
+)
+
+
+@query(_THREE)
 def mesma_three(spark, d):
     out = unmix.unmix(v.px(spark, d).select("row", "col", "spectrum"), v.lib(spark, d, 2), "mesma", unmix.Constraints(max_rmse=0.2))
-    return out.select("row", "col", F.round("shade", 5).alias("shade"), F.round("rmse", 5).alias("rmse"))
+    return out.select("row", "col", (F.round("shade", 5) + 0.0).alias("shade"), F.round("rmse", 5).alias("rmse"))
 
 
 @query()
