@@ -2,6 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of ``documents``. Between stages the documents are written as Parquet and read again.
+
+Defined results, by stage. Null and empty texts, and those without words, are rejected by the quality rules; where they
+come to language ID they are rejected there as ``und``; where they come to the near-duplicates stage they share
+fingerprint zero, so one of them stays; packing gives each its end id alone. Rows without a doc_id pass all stages as
+documents of their own, except that they are never anyone's near-duplicate. Rows that repeat are judged alike by the first
+two stages, one of them is left by the third, and packing packs what comes to it one by one. Ties: of languages the one that
+sorts first (though a tie is ambiguous, so its document goes), of near-duplicates the document of the least doc_id, and if
+several texts have that id the one of the least fingerprint. Very long texts are read whole by every stage. An empty table
+gives an empty table. Columns other than doc_id, text and, to learn languages from, lang are kept as they are through the
+first three stages and may have any names; packing returns columns of its own.
 """
 
 from __future__ import annotations
