@@ -7,8 +7,9 @@ that are not white space (before a space and on both sides of a line feed, where
 by the pattern, and each of these at its forced boundaries. Ids of units are kept in a bounded table.
 
 Defined results: a null text counts as an empty one, which has no ids; the special token's string in a text is its
-one id; rows that repeat are encoded one by one; an empty table gives an empty table; columns other than the id
-and the text are not read.
+one id; rows that repeat are encoded one by one; of two merges with equal rank (a tie) the leftmost comes first; very
+long texts are encoded whole, one at a time, and a fragment of ``LONG_FRAGMENT`` bytes or more by a heap of its merges; an
+empty table gives an empty table; columns other than the id and the text are not read and may have any names.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ the shortest open packs, whose patterns and counts are updated; where even the s
 Patterns are joined back by rank: the r-th piece of a length takes the r-th place that the patterns have for it.
 
 Defined results: a null text counts as an empty one and gives the end id alone; rows that repeat are packed one by
-one; ties in rank are pieces equal in all that is returned; an empty table gives an empty table; columns other than
-the id and the text are not read.
+one; ties in rank are pieces equal in all that is returned; very long texts are encoded whole, one at a time, and give
+as many pieces as they need; an empty table gives an empty table; columns other than the id and the text are not read and
+may have any names.
 """
 
 from __future__ import annotations

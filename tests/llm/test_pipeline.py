@@ -32,6 +32,34 @@ def test_stages_and_run(spark):
     check_packing(corpus_pipeline.run(spark, d).collect(), [(r.doc_id, r.text) for r in stages[2]], 2048)
 
 
+def test_cases_of_each_stage(spark):
+    d = "/root/testdata/sf0.001"
+    good = [r for r in spark.read.parquet(f"{d}/documents.parquet").collect() if quality.verdict(quality.Text(r.text), quality.RULES) is None][:40]
+    long = " ".join(r.text for r in good if r.lang == good[0].lang) * 40
+    # Columns that bear names of the operators' own.
+    names = [*SCHEMA.replace("doc_id long, text string, lang string, ", "").split(", "), "h int", "id int", "fp int", "key int", "root int", "component_id int"]
+    schema = "doc_id long, text string, lang string, " + ", ".join(names)
+    row = lambda i, t, lang: (i, t, lang, "s", len(t or ""), 1, 2, 3, 4, 5, 6)
+    rows = [row(r.doc_id, r.text, r.lang) for r in good]
+    odd = [row(10_001, None, None), row(10_002, "", None), row(10_003, " \n", "en"), row(10_004, None, "en")]
+    twice, nameless, huge = row(10_005, good[0].text, good[0].lang), row(None, good[0].text, good[0].lang), row(10_006, long, None)
+    df = spark.createDataFrame([*rows, *odd, twice, twice, nameless, huge], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality_rules", "language_id"):
+        out = stages[name](spark, df, d)
+        assert out.columns == df.columns
+        ids = [r.doc_id for r in out.collect()]
+        assert not {10_001, 10_002, 10_003, 10_004} & set(ids) and ids.count(10_005) in (0, 2), name
+        assert (None in ids) == (10_005 in ids), name
+    out = stages["near_duplicates"](spark, df, d)
+    kept = out.collect()
+    ids = [r.doc_id for r in kept]
+    assert out.columns == df.columns and len(ids) == len(set(ids)) and None in ids and 10_005 not in ids
+    assert {10_001, 10_002, 10_003, 10_004} & set(ids) == {10_001} and all(r[5:] == (1, 2, 3, 4, 5, 6) for r in kept)
+    assert next(r.text for r in kept if r.doc_id == 10_006) == long
+    check_packing(stages["packing"](spark, df, d).collect(), [(r[0], r[1]) for r in [*rows, *odd, twice, twice, nameless, huge]], 2048)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
